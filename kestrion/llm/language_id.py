@@ -5,8 +5,8 @@ letters' vectors, each permuted (rotated) by its place; a text's vector bundles
 and a language's prototype bundles its training texts, each scaled to unit length so that a long text weighs no more
 than a short one. A text gets the language whose prototype has the largest cosine with it.
 
-Two passes over the corpus, no shuffle of text: the first sends one partial vector a language and task to the driver's
-sum (languages x dimensions numbers, whatever the input), the second broadcasts those prototypes.
+Two passes over the corpus, no shuffle of text: the first adds up one partial vector a language and task in a few merging
+tasks (languages x dimensions numbers reach the driver from each, whatever the input), the second broadcasts those prototypes.
 
 Defined results: null text, or a text without a letter: `und`, score 0. Ties go to the language first in order. Texts
 are read whole. With no labelled text at all, every text is `und`. Repeated rows are predicted alike; columns other
@@ -29,6 +29,10 @@ ORDER = 3
 DENSE = 4_000_000
 #: N-gram vectors that are held at a time.
 BLOCK = 8192
+#: Unit vectors are added as whole multiples of 1 / SCALE, so that the order of addition doesn't matter.
+SCALE = 1 << 20
+#: Tasks that add up what the corpus's tasks have bundled.
+MERGERS = 16
 _LETTER: list[np.ndarray] = []
 
 
@@ -128,21 +132,32 @@ def fit_prototypes(rows: DataFrame, dims: int = DIMENSIONS, order: int = ORDER)
     """Prototypes from (text, lang) rows; all of them are read, none without text or language counts."""
     profiler_args = (dims, order)
 
+    schema = pa.schema([("lang", pa.string()), ("v", pa.list_(pa.int64()))])
+
+    def merged(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        names = sorted(sums)
+        return pa.RecordBatch.from_pydict({"lang": names, "v": [sums[x] for x in names]}, schema)
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler, sums, counts = Profiler(*profiler_args), {}, {}
+        profiler, sums = Profiler(*profiler_args), {}
         for part, texts in sub_batches(batches, "text"):
             langs = part.column(part.schema.get_field_index("lang")).to_pylist()
-            vectors = profiler.vectors(texts)
+            vectors = np.rint(profiler.vectors(texts) * SCALE).astype(np.int64)
             for name in set(langs):
-                mine = vectors[[x == name for x in langs]]
-                sums[name] = sums.get(name, 0) + mine.sum(axis=0, dtype=np.float64)
-                counts[name] = counts.get(name, 0) + len(mine)
-        names = sorted(sums)
-        yield pa.RecordBatch.from_pydict({"lang": names, "n": [counts[x] for x in names], "v": [sums[x].tolist() for x in names]}, pa.schema([("lang", pa.string()), ("n", pa.int64()), ("v", pa.list_(pa.float64()))]))
-
-    parts = rows.select("text", "lang").where("text is not null and lang is not null").mapInArrow(partial, "lang string, n long, v array<double>")
+                sums[name] = sums.get(name, 0) + vectors[[x == name for x in langs]].sum(axis=0)
+        yield merged(sums)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[name] = sums.get(name, 0) + v.values.to_numpy()
+        yield merged(sums)
+
+    layout = "lang string, v array<bigint>"
+    parts = rows.select("text", "lang").where("text is not null and lang is not null").mapInArrow(partial, layout)
     total: dict[str, np.ndarray] = {}
-    for row in parts.collect():
+    for row in parts.repartition(MERGERS).mapInArrow(merge, layout).collect():  # MERGERS rows a language, whatever the input
         total[row.lang] = total.get(row.lang, 0) + np.asarray(row.v)
     return {k: v / max(np.linalg.norm(v), 1e-9) for k, v in sorted(total.items())}
 
