@@ -2,11 +2,11 @@
 
 1. Texts are split into words (the tokenizer's own pre-tokens, lower-cased). Runs of whole texts of about `CHUNK`
    characters become chunks; a chunk holds each distinct word once, and its texts as numbers into that list.
-2. (chunk, place, word) rows are dealt by word, so that all rows of a word meet in one task, which encodes the word once:
-   each task holds its share of the table of distinct words. A word has at most one row a chunk, however often it occurs,
-   so no word is hot.
+2. The table of distinct words is dealt over tasks by a hash of the word; a chunk sends each share its words as one
+   compressed row. So all chunks' copies of a word meet in one task, which encodes the word once. A word is at most one
+   entry a chunk, however often it occurs, so no word is hot.
 3. Ids come back to their chunk by place and are laid out in the order of the texts. Decoding looks every id up in the
-   id-to-piece table, whose size the vocabulary fixes, and joins the pieces.
+   id-to-piece table, a broadcast whose size the vocabulary fixes, and joins the pieces.
 
 Texts are never shuffled, only word numbers; a chunk, the largest thing a task holds, is bounded unless one text is longer.
 
@@ -19,9 +19,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -58,8 +61,21 @@ def split_words(text: str) -> list[str]:
     return [w for x in _OTHER.findall(text) for w in (_SPLIT.findall(x.lower()) if _PLAIN.match(x) and not _SPECIAL.search(x) else [x])]
 
 
-def split_chunks(docs: DataFrame, chunk_chars: int = CHUNK) -> DataFrame:
-    """chunk, doc_ids, counts (words of each text), places (byte planes of word numbers, frequent words first), words."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 as compressed byte planes."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 5)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK) -> DataFrame:
+    """chunk, doc_ids, counts (words of each text), places (the texts' words as numbers), share_of, words.
+
+    A chunk's distinct words are numbered by falling frequency; share_of tells by number to which of the table's `shares` a
+    word belongs (a hash of the word), words has each share's words in order of their numbers.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -67,13 +83,20 @@ def split_chunks(docs: DataFrame, chunk_chars: int = CHUNK) -> DataFrame:
         ids, counts, places, size = [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            flat = np.concatenate(places) if places else np.zeros(0, np.int64)
+            flat = np.concatenate(places)
             rank = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            number = np.empty(len(words), np.uint32)
-            number[rank] = np.arange(len(words), dtype=np.uint32)
-            names = np.array(list(words), object)[rank]
-            planes = np.ascontiguousarray(number[flat].view(np.uint8).reshape(-1, 4).T).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([base + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([planes], pa.binary()), pa.array([list(names)], pa.list_(pa.string()))], names=["chunk", "doc_ids", "counts", "places", "words"])
+            number = np.empty(len(words), np.int64)
+            number[rank] = np.arange(len(words))
+            known = list(words)
+            share_of = np.fromiter([xxhash.xxh3_64_intdigest(w.encode()) % shares for w in known], np.int64, len(known))[rank]
+            dealt: list[list[str]] = [[] for _ in range(shares)]
+            for at, share in zip(rank.tolist(), share_of.tolist()):
+                dealt[share].append(known[at])
+            blobs = [zstandard.compress("\n".join(x).encode(), 5) if x else None for x in dealt]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([base + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([pack(number[flat])], pa.binary()), pa.array([pack(share_of)], pa.binary()), pa.array([blobs], pa.list_(pa.binary()))],
+                names=["chunk", "doc_ids", "counts", "places", "share_of", "words"],
+            )
 
         for part, texts in sub_batches(batches, "text"):
             for doc_id, text in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts):
@@ -90,24 +113,27 @@ def split_chunks(docs: DataFrame, chunk_chars: int = CHUNK) -> DataFrame:
         if ids:
             yield made()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, "chunk long, doc_ids array<long>, counts array<int>, places binary, words array<string>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, "chunk long, doc_ids array<long>, counts array<int>, places binary, share_of binary, words array<binary>")
 
 
-def encode_words(pairs: DataFrame, path: str) -> DataFrame:
-    """(chunk, place, word) to (chunk, place, ids as little-endian 32-bit); every word is encoded in one task, once."""
+def encode_words(rows: DataFrame, path: str) -> DataFrame:
+    """(chunk, share, words) to (chunk, share, counts and ids of the words); a share's words meet in one task and are encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
+        known: dict[str, list[int]] = {}
         for batch in batches:
-            words = batch.column(2).to_pylist()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for low in range(0, len(new), 5000):
-                part = new[low : low + 5000]
-                for w, e in zip(part, tokenizer(path).encode_batch(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known[w] for w in words], pa.binary())], names=["chunk", "place", "ids"])
+            out: list[tuple[bytes, bytes]] = []
+            for blob in batch.column(2):
+                words = zstandard.decompress(blob.as_py()).decode().split("\n")
+                new = [w for w in words if w not in known]
+                for low in range(0, len(new), 5000):
+                    part = new[low : low + 5000]
+                    known.update(zip(part, (e.ids for e in tokenizer(path).encode_batch(part, add_special_tokens=False))))
+                ids = [known[w] for w in words]
+                out.append((pack(np.array([len(x) for x in ids])), pack(np.fromiter(chain.from_iterable(ids), np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["chunk", "share", "counts", "ids"])
 
-    return pairs.mapInArrow(encode, "chunk long, place int, ids binary")
+    return rows.mapInArrow(encode, "chunk long, share int, counts binary, ids binary")
 
 
 def piece_table(path: str) -> np.ndarray:
@@ -124,38 +150,36 @@ def assemble(chunks: DataFrame, encoded: DataFrame, path: str) -> DataFrame:
     pieces = chunks.sparkSession.sparkContext.broadcast(piece_table(path))
 
     def lay_out(chunk: pa.Table, rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows["place"].to_numpy())
-        blobs = rows["ids"].to_pylist()
-        blobs = [blobs[i] for i in order]
-        per_word = np.array([len(b) // 4 for b in blobs], np.int64)
-        flat = np.frombuffer(b"".join(blobs), "<u4")
-        start = np.concatenate([[0], np.cumsum(per_word)])
-        texts = [" ".join(pieces.value[flat[start[i] : start[i + 1]]]) for i in range(len(blobs))]
         out_doc, out_ids, out_text = [], [], []
-        for doc_ids, counts, planes in zip(chunk["doc_ids"].to_pylist(), chunk["counts"].to_pylist(), chunk["places"].to_pylist()):
-            places = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-            at = 0
-            for doc_id, n in zip(doc_ids, counts):
-                mine = places[at : at + n].astype(np.int64)
+        by_share = np.argsort(rows["share"].to_numpy())
+        counts, ids = (np.concatenate([np.zeros(0, np.int64), *(unpack(rows[c][int(i)].as_py()) for i in by_share)]) for c in ("counts", "ids"))
+        for doc_ids, sizes, places, share_of in zip(*(chunk[c].to_pylist() for c in ("doc_ids", "counts", "places", "share_of"))):
+            order = np.argsort(unpack(share_of), kind="stable")  # numbers in the order in which the shares list them
+            per_word, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            per_word[order], start[order] = counts, np.cumsum(counts) - counts
+            texts = [" ".join(pieces.value[ids[a : a + n]]) for a, n in zip(start.tolist(), per_word.tolist())]
+            at, numbers = 0, unpack(places)
+            for doc_id, n in zip(doc_ids, sizes):
+                mine = numbers[at : at + n]
                 at += n
                 each = per_word[mine]
-                shift = np.repeat(start[mine] - np.concatenate([[0], np.cumsum(each)[:-1]]) if n else np.zeros(0, np.int64), each)
+                shift = np.repeat(start[mine] - (np.cumsum(each) - each), each)
                 out_doc.append(doc_id)
-                out_ids.append(flat[shift + np.arange(len(shift))].tobytes())
+                out_ids.append(ids[shift + np.arange(len(shift))].astype("<u4").tobytes())
                 out_text.append(" ".join([t for t in map(texts.__getitem__, mine.tolist()) if t]))
         return pa.table([pa.array(out_doc, pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    joined = chunks.select("chunk", "doc_ids", "counts", "places").groupBy("chunk").cogroup(encoded.groupBy("chunk"))
+    joined = chunks.select("chunk", "doc_ids", "counts", "places", "share_of").groupBy("chunk").cogroup(encoded.groupBy("chunk"))
     return joined.applyInArrow(lay_out, "doc_id long, ids binary, decoded string")
 
 
 def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK) -> DataFrame:
     """doc_id, ids, decoded of every document."""
     spark = docs.sparkSession
-    chunks = Scratch(spark, "bpe").keep(split_chunks(docs, chunk_chars), "chunks")
-    pairs = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    return assemble(chunks, encode_words(pairs.repartition(n, "word"), path), path)
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    chunks = Scratch(spark, "bpe").keep(split_chunks(docs, shares, chunk_chars), "chunks")
+    rows = chunks.select("chunk", F.posexplode("words").alias("share", "words")).where("words is not null")
+    return assemble(chunks, encode_words(rows.repartition(shares, "share"), path), path)
 
 
 def digest(encoded: DataFrame) -> DataFrame:
