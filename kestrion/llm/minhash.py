@@ -9,10 +9,10 @@ weighted Jaccard similarity.
 
 Documents that agree in all coordinates of a band are candidates. Exact copies are one class from the start, so that hot
 groups of them are reduced before anything is joined. In a band's group of up to `SMALL` classes each meets each. In a
-larger one every class meets the `CENTRES[0]` classes of least hash; those that link with none meet `CENTRES[1]` of their
-own, and those that still link with none meet each other. So a large group of copies costs a few comparisons a member,
-and no group is cut. Candidates are verified exactly on their sets of shingles. A link inside a large group between two
-classes that are linked to other centres is found through another band or path, or not at all.
+larger one every class meets the `CENTRES[0]` classes that meet the most others (in a family of copies, those nearest to
+its middle); those that link with none meet `CENTRES[1]` of them, and those that still link with none meet the whole
+group. So a large family costs a few comparisons a member, and no group is cut: a class without a link has met every class
+that it shares a band with. Candidates are verified exactly on their sets of shingles.
 
 At the default (80 coordinates, 20 bands of 4) a pair of similarity 0.8 is missed with a probability of 3 in 100,000.
 
@@ -36,7 +36,7 @@ from kestrion.llm.common import WordHash, mix64, rolling, sub_batches
 from kestrion.llm.components import components
 from kestrion.sources.scratch import Scratch
 
-WORDS, THRESHOLD, BANDS, ROWS, SMALL, CENTRES = 5, 0.8, 20, 4, 16, (2, 8)
+WORDS, THRESHOLD, BANDS, ROWS, SMALL, CENTRES = 5, 0.8, 20, 4, 16, (2, 10)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -165,8 +165,8 @@ def pairs_of(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
 
 
 def centres_of(members: DataFrame, most: int) -> DataFrame:
-    """Up to `most` members of each group, those of least hash; Spark limits groups before it shuffles them."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+    """Up to `most` members of each group, those that meet the most others; Spark limits groups before it shuffles them."""
+    order = Window.partitionBy("key").orderBy(F.desc("meets"), "id")
     return members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
@@ -180,25 +180,23 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, scratch: Scrat
     scratch.drop(members, sizes)
     few = grouped.where(F.col("size") <= small)
     pairs = scratch.keep(pairs_of(few, few, threshold), "pairs")
-    rest = scratch.keep(grouped.where(F.col("size") > small).select("key", "id", "n"), "rest")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(rest.select(F.col("id").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    many = grouped.where(F.col("size") > small)
+    many = scratch.keep(many.join(many.groupBy("id").agg(F.sum("size").alias("meets")), "id").select("key", "id", "n", "meets"), "many")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(many.select(F.col("id").alias("doc_id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
     sets = scratch.keep(shingle_sets(texts, words).dropDuplicates(["doc_id"]), "sets")
     found = [scratch.keep(verify(pairs, sets, threshold), "links")]
     scratch.drop(grouped, pairs)
+    rest = many
     for most in (*centres, None):
         if rest.isEmpty():
             break
-        middle = rest if most is None else scratch.keep(centres_of(rest, most), "centres")
+        middle = many if most is None else scratch.keep(centres_of(many, most), "centres")
         pairs = scratch.keep(pairs_of(rest, middle, threshold), "pairs")
         found.append(scratch.keep(verify(pairs, sets, threshold), "links"))
         scratch.drop(pairs)
-        if most is None:
-            break
         linked = found[-1].select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        left = scratch.keep(rest.join(linked, "id", "left_anti").join(middle.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n"), "rest")
-        scratch.drop(rest, middle)
-        rest = left
+        rest = scratch.keep(rest.join(linked, "id", "left_anti"), "rest")
     return reduce(DataFrame.unionByName, found).select("a", "b")
 
 
