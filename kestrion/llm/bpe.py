@@ -182,6 +182,7 @@ def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK) -> DataF
     return assemble(chunks, encode_words(rows.repartition(shares, "share"), path), path)
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digest(encoded: DataFrame, *also: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns `also`."""
+    n = (F.octet_length("ids") / 4).cast("long")
+    return encoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *also)
