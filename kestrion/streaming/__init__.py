@@ -1 +1 @@
-
+"""Structured Streaming around the engine: continuous indexing and telemetry."""
