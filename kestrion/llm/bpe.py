@@ -28,10 +28,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from kestrion.llm.common import sub_batches
+from kestrion.llm.common import release, sub_batches, trimmed
 from kestrion.sources.scratch import Scratch
 
-CHUNK = 12_000_000
+CHUNK = 5_000_000
 #: The fixed pattern by which the tokenizer splits; `_` and digits beyond \\d are told apart below.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+")
 #: Texts of these characters only are split by _SPLIT just as by the tokenizer; others word by word by the library itself.
@@ -85,7 +85,7 @@ def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK) -> Data
         def made() -> pa.RecordBatch:
             flat = np.concatenate(places)
             rank = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            number = np.empty(len(words), np.int64)
+            number = np.empty(len(words), np.int32)
             number[rank] = np.arange(len(words))
             known = list(words)
             share_of = np.fromiter([xxhash.xxh3_64_intdigest(w.encode()) % shares for w in known], np.int64, len(known))[rank]
@@ -106,14 +106,14 @@ def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK) -> Data
                     words.clear()
                     ids, counts, places, size = [], [], [], 0
                 found = split_words(text or "")
-                places.append(np.fromiter([words.setdefault(w, len(words)) for w in found], np.int64, len(found)))
+                places.append(np.fromiter([words.setdefault(w, len(words)) for w in found], np.int32, len(found)))
                 ids.append(doc_id)
                 counts.append(len(found))
                 size += len(text or "")
         if ids:
             yield made()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, "chunk long, doc_ids array<long>, counts array<int>, places binary, share_of binary, words array<binary>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(split), "chunk long, doc_ids array<long>, counts array<int>, places binary, share_of binary, words array<binary>")
 
 
 def encode_words(rows: DataFrame, path: str) -> DataFrame:
@@ -133,7 +133,7 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
                 out.append((pack(np.array([len(x) for x in ids])), pack(np.fromiter(chain.from_iterable(ids), np.int64))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["chunk", "share", "counts", "ids"])
 
-    return rows.mapInArrow(encode, "chunk long, share int, counts binary, ids binary")
+    return rows.mapInArrow(trimmed(encode), "chunk long, share int, counts binary, ids binary")
 
 
 def piece_table(path: str) -> np.ndarray:
@@ -150,6 +150,7 @@ def assemble(chunks: DataFrame, encoded: DataFrame, path: str) -> DataFrame:
     pieces = chunks.sparkSession.sparkContext.broadcast(piece_table(path))
 
     def lay_out(chunk: pa.Table, rows: pa.Table) -> pa.Table:
+        release()
         out_doc, out_ids, out_text = [], [], []
         by_share = np.argsort(rows["share"].to_numpy())
         counts, ids = (np.concatenate([np.zeros(0, np.int64), *(unpack(rows[c][int(i)].as_py()) for i in by_share)]) for c in ("counts", "ids"))

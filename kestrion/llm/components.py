@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kestrion.llm.common import trimmed
 from kestrion.sources.scratch import Scratch
 
 
@@ -42,7 +43,7 @@ def contract(links: DataFrame) -> DataFrame:
             a, b = union_find(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

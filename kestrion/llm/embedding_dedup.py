@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
+from kestrion.llm.common import trimmed
 from kestrion.llm.components import components, union_find
 from kestrion.sources.scratch import Scratch
 
@@ -70,7 +71,7 @@ def place(vectors: DataFrame, threshold: float, blocks: int, grid: int) -> DataF
                     n = len(x)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(list(cells(x[:, s], r, grid)), pa.list_(pa.int64()))], names=["id", "copies", "v", "dims", "block", "cell"])
 
-    return vectors.select("id", "copies", "v").mapInArrow(run, "id long, copies long, v array<float>, dims int, block int, cell array<long>")
+    return vectors.select("id", "copies", "v").mapInArrow(trimmed(run), "id long, copies long, v array<float>, dims int, block int, cell array<long>")
 
 
 def tasks(counts: list, chunk: int, grid: int) -> tuple[list, list]:

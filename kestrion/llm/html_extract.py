@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kestrion.llm.common import sub_batches
+from kestrion.llm.common import sub_batches, trimmed
 
 # Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,4 +174,4 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
             out = part.drop_columns(["__html"])
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*out.schema.names, "text", "n_chars"])
 
-    return pages.select(*keep, F.col("html").alias("__html")).mapInArrow(tell, f"{fields}, text string, n_chars long")
+    return pages.select(*keep, F.col("html").alias("__html")).mapInArrow(trimmed(tell), f"{fields}, text string, n_chars long")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kestrion.llm.common import mix64, sub_batches
+from kestrion.llm.common import mix64, sub_batches, trimmed
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -155,9 +155,9 @@ def fit_prototypes(rows: DataFrame, dims: int = DIMENSIONS, order: int = ORDER)
         yield merged(sums)
 
     layout = "lang string, v array<bigint>"
-    parts = rows.select("text", "lang").where("text is not null and lang is not null").mapInArrow(partial, layout)
+    parts = rows.select("text", "lang").where("text is not null and lang is not null").mapInArrow(trimmed(partial), layout)
     total: dict[str, np.ndarray] = {}
-    for row in parts.repartition(MERGERS).mapInArrow(merge, layout).collect():  # MERGERS rows a language, whatever the input
+    for row in parts.repartition(MERGERS).mapInArrow(trimmed(merge), layout).collect():  # MERGERS rows a language, whatever the input
         total[row.lang] = total.get(row.lang, 0) + np.asarray(row.v)
     return {k: v / max(np.linalg.norm(v), 1e-9) for k, v in sorted(total.items())}
 
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
                 names=[*out.schema.names, "lang_pred", "score"],
             )
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(tell, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(trimmed(tell), f"{fields}, lang_pred string, score double")
 
 
 def in_fold(key: str, parts: int, which: int):

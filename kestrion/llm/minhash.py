@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kestrion.llm.common import WordHash, mix64, rolling, sub_batches
+from kestrion.llm.common import WordHash, mix64, rolling, sub_batches, trimmed
 from kestrion.llm.components import components
 from kestrion.sources.scratch import Scratch
 
@@ -152,7 +152,7 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
                 names=["doc_id", "text_key", "n_shingles", "keys", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, text_key binary, n_shingles long, keys array<long>, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(trimmed(run), "doc_id long, text_key binary, n_shingles long, keys array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -164,7 +164,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             found = [np.unique(shingles(t or "", words, hashes)).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, s array<long>")
 
 
 def near(n_a, n_b, threshold: float):

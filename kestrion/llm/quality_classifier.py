@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from kestrion.llm.common import sub_batches
+from kestrion.llm.common import sub_batches, trimmed
 from kestrion.llm.language_id import in_fold
 
 PIECE, WINDOW, DICTIONARY, LEVEL = 512, 4096, 16_384, 3
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for part, found in sub_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sizes.features(t.encode()) for t in found], pa.list_(pa.float64()))], names=["quality", "x"])
 
-    seen = rows.where("half = 1").select("quality", "text").mapInArrow(measure, "quality int, x array<double>").collect()
+    seen = rows.where("half = 1").select("quality", "text").mapInArrow(trimmed(measure), "quality int, x array<double>").collect()
     seen.sort(key=lambda r: (r.quality, r.x))
     y = np.array([float(r.quality) for r in seen])
     if len(set(y)) < 2:
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             out = part.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*out.schema.names, "score", "predicted"])
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("__text")).mapInArrow(tell, f"{fields}, score double, predicted int")
+    return docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("__text")).mapInArrow(trimmed(tell), f"{fields}, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kestrion.llm.common import WordHash, rolling, sub_batches
+from kestrion.llm.common import WordHash, rolling, sub_batches, trimmed
 
 #: Fixed values of the contract.
 SPACES, SYMBOLS, WINDOW, LEAST_WORDS, REPEAT_SHARE = " \t\n\x0b\x0c\r", "#*$%&|<>", 8, 20, 30
@@ -114,7 +114,7 @@ def judge(docs: DataFrame, order: list[str], keep: tuple[str, ...] = ("doc_id",)
                 names=[*out.schema.names, *COUNTS, "base_failed", "kept", "rejected_by"],
             )
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(tell, f"{fields}, {', '.join(f'{k} long' for k in COUNTS)}, base_failed boolean, kept boolean, rejected_by string")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(trimmed(tell), f"{fields}, {', '.join(f'{k} long' for k in COUNTS)}, base_failed boolean, kept boolean, rejected_by string")
 
 
 def cascade(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

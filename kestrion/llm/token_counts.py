@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from kestrion.llm.common import sub_batches
+from kestrion.llm.common import sub_batches, trimmed
 from kestrion.sources.scratch import Scratch
 
 WIDTH, BLOCK_BYTES, RUN = 2, 1 << 20, 1024
@@ -48,7 +48,7 @@ def write_flat(docs: DataFrame, to: str, vocabulary: str, pattern: str, end: int
             yield pa.RecordBatch.from_arrays([pa.array([np.array(own.encode_ordinary(t or ""), "<u2").tobytes() for t in texts], pa.binary())], names=["tokens"])
 
     separator = int(end).to_bytes(WIDTH, "little").decode("latin-1")
-    rows = docs.select("text").mapInArrow(encode, "tokens binary").select(F.col("tokens").cast("string").alias("value"))
+    rows = docs.select("text").mapInArrow(trimmed(encode), "tokens binary").select(F.col("tokens").cast("string").alias("value"))
     rows.write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("compression", "none").text(to)
 
 
@@ -66,7 +66,7 @@ def scan(spark: SparkSession, path: str, end: int, block_bytes: int = BLOCK_BYTE
             ends = [np.flatnonzero(np.frombuffer(b.as_buffer(), "<u2") == end).astype(np.int32) for b in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ends, pa.list_(pa.int32()))], names=["file", "length", "block", "ends"])
 
-    found = Scratch(spark, "tokens").keep(blocks.mapInArrow(search, "file string, length long, block long, ends array<int>"), "ends")
+    found = Scratch(spark, "tokens").keep(blocks.mapInArrow(trimmed(search), "file string, length long, block long, ends array<int>"), "ends")
     per_block = block_bytes // WIDTH
     first = F.col("block") * per_block
     last = F.when(F.size("ends") > 0, first + F.element_at("ends", -1))
