@@ -9,10 +9,11 @@ weighted Jaccard similarity.
 
 Documents that agree in all coordinates of a band are candidates. Exact copies are one class from the start, so that hot
 groups of them are reduced before anything is joined. In a band's group of up to `SMALL` classes each meets each. In a
-larger one every class meets the `CENTRES[0]` classes that meet the most others (in a family of copies, those nearest to
-its middle); those that link with none meet `CENTRES[1]` of them, and those that still link with none meet the whole
-group. So a large family costs a few comparisons a member, and no group is cut: a class without a link has met every class
-that it shares a band with. Pairs whose sizes or signatures (four bits of each coordinate) rule the similarity out are told apart inside
+larger one every class meets the `CENTRES` classes that meet the most others (in a family of copies, those nearest to its
+middle). Classes of large groups that still have no link are joined with all of them on their rarest shingles: sets of the similarity share one of
+their rarest (1 - similarity) n + 1, and a passage that many documents share is not among these. So a large family costs a
+few comparisons a member, and a class without a link has met every class that it could be linked to.
+Pairs whose sizes or signatures (four bits of each coordinate) rule the similarity out are told apart inside
 the joins; what is left is verified exactly on sets of shingles.
 
 At the default (80 coordinates, 20 bands of 4) a pair of similarity 0.8 is missed with a probability of 6 in 100,000, half of it by
@@ -38,7 +39,7 @@ from kestrion.llm.common import WordHash, mix64, rolling, sub_batches, trimmed
 from kestrion.llm.components import components
 from kestrion.sources.scratch import Scratch
 
-WORDS, THRESHOLD, BANDS, ROWS, SMALL, CENTRES = 5, 0.8, 20, 4, 16, (2, 10)
+WORDS, THRESHOLD, BANDS, ROWS, SMALL, CENTRES = 5, 0.8, 20, 4, 16, 2
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -200,7 +201,29 @@ def centres_of(members: DataFrame, most: int) -> DataFrame:
     return members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
-def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, scratch: Scratch, words: int = WORDS, threshold: float = THRESHOLD, k: int = BANDS * ROWS, small: int = SMALL, centres: tuple[int, ...] = CENTRES) -> DataFrame:
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, n, s, place: each set's rarest shingles, so many that two sets of the similarity share one of them at least."""
+    rows = sets.select(F.col("doc_id").alias("id"), F.size("s").alias("n"), F.explode("s").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("r"))
+    length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    return ranked.select("id", "n", F.posexplode(F.slice("r", F.lit(1), length)).alias("place", "e")).select("id", "n", "e.s", "place")
+
+
+def prefix_pairs(rare: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of an id of `left` with any that shares a rare shingle.
+
+    The first shingle that two sets share leaves at most what stands behind it to share; that must reach the overlap that
+    the similarity needs. The join tells by size and place.
+    """
+    other = rare.select("s", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
+    reach = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
+    enough = reach >= (F.col("n") + F.col("n_b")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    met = rare.join(left, "id", "left_semi").join(other, "s").where((F.col("id") != F.col("id_b")) & near(F.col("n"), F.col("n_b"), threshold) & enough)
+    return met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, scratch: Scratch, words: int = WORDS, threshold: float = THRESHOLD, k: int = BANDS * ROWS, small: int = SMALL, centres: int = CENTRES) -> DataFrame:
     """Verified links (a, b) between classes."""
     nulls = signed.where("text_key is null").select("doc_id")
     reps = signed.join(classes.select(F.col("class_id").alias("doc_id")).unionByName(nulls), "doc_id", "left_semi").where("n_shingles > 0")
@@ -219,16 +242,18 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, scratch: Scrat
     sets = scratch.keep(shingle_sets(texts, words).dropDuplicates(["doc_id"]), "sets")
     found = [scratch.keep(verify(pairs, sets, threshold), "links")]
     scratch.drop(grouped, pairs)
-    rest = many
-    for most in (*centres, None):
-        if rest.isEmpty():
-            break
-        middle = many if most is None else scratch.keep(centres_of(many, most), "centres")
-        pairs = scratch.keep(pairs_of(rest, middle, threshold, k), "pairs")
+    if not many.isEmpty():
+        middle = scratch.keep(centres_of(many, centres), "centres")
+        pairs = scratch.keep(pairs_of(many, middle, threshold, k), "pairs")
         found.append(scratch.keep(verify(pairs, sets, threshold), "links"))
-        scratch.drop(pairs)
+        scratch.drop(pairs, middle)
         linked = found[-1].select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        rest = scratch.keep(rest.join(linked, "id", "left_anti"), "rest")
+        inside = scratch.keep(many.select("id").distinct(), "inside")
+        rest = scratch.keep(inside.join(linked, "id", "left_anti"), "rest")
+        rare = scratch.keep(prefixes(sets.join(inside.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), threshold), "prefixes")
+        pairs = scratch.keep(prefix_pairs(rare, rest, threshold), "pairs")
+        found.append(scratch.keep(verify(pairs, sets, threshold), "links"))
+        scratch.drop(pairs, rare, rest, inside)
     return reduce(DataFrame.unionByName, found).select("a", "b")
 
 
