@@ -75,7 +75,7 @@ def place(vectors: DataFrame, threshold: float, blocks: int, grid: int) -> DataF
 
 
 def tasks(counts: list, chunk: int, grid: int) -> tuple[list, list]:
-    """Chunks of each cell: (dims, block, cell, chunks), and pairs of chunks that meet: (chunk, task, side)."""
+    """Chunks of each cell: (dims, block, cell, chunks), and pairs of chunks that meet: (chunk, task, side), side 2 where a chunk meets itself."""
     n_chunks = {(r.dims, r.block, tuple(r.cell)): -(-r.n // chunk) for r in counts}
     first, total = {}, 0
     for key in sorted(n_chunks):
@@ -90,9 +90,7 @@ def tasks(counts: list, chunk: int, grid: int) -> tuple[list, list]:
             own = (dims, block, cell)
             for i in range(first[own], first[own] + n_chunks[own]):
                 for j in range(max(i, first[other]) if own == other else first[other], first[other] + n_chunks[other]):
-                    meet.append((i, task, 0))
-                    if i != j:
-                        meet.append((j, task, 1))
+                    meet += [(i, task, 2)] if i == j else [(i, task, 0), (j, task, 1)]
                     task += 1
     return [(d, b, list(c), n, first[d, b, c]) for d, b, c in sorted(n_chunks) for n in [n_chunks[d, b, c]]], meet
 
@@ -141,8 +139,8 @@ def join(placed: DataFrame, counts: list, threshold: float, blocks: int, grid: i
         v = rows["v"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(ids), -1)
         order = np.lexsort((ids, side))
         ids, copies, side, v = ids[order], copies[order], side[order], v[order]
-        cut = int((side == 0).sum())
-        same = cut == len(ids)
+        same = bool((side == 2).all())
+        cut = len(ids) if same else int((side == 0).sum())
         n = np.zeros(len(ids), np.int64)
         shift = 0 if same else cut
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -59,8 +59,14 @@ def edf_frame(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+ADDED = ("block", "release", "deadline", "slot", "in_target")
+
+
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_chars: int = BLOCK_CHARS, frame: int = FRAME) -> DataFrame:
-    """The documents with block, release, deadline, slot (null where the source has no weight) and in_target."""
+    """The documents with block, release, deadline, slot (null where the source has no weight) and in_target.
+
+    Columns of the documents with these names give way to them.
+    """
     spark = docs.sparkSession
     sizes = docs.groupBy(F.expr(_NAME).alias("name")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("chars")).limit(MOST_SOURCES + 1).collect()
     if len(sizes) > MOST_SOURCES:
@@ -79,12 +85,13 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, te
     first_gap = min((blocks[n] // c * frame + at[n, blocks[n] % c] for n, c in slots.items()), default=0)
     per_source = spark.createDataFrame([(n, b, slots.get(n)) for n, b in sorted(blocks.items())], "__name string, __blocks long, __slots int")
     per_slot = spark.createDataFrame(table, "__name string, __k int, __slot int, __release int, __deadline int")
-    out = docs.withColumn("__name", F.expr(_NAME)).join(F.broadcast(per_source), "__name", "left")
-    out = out.withColumn("block", F.pmod(F.xxhash64("doc_id"), "__blocks")).withColumn("__k", F.pmod("block", "__slots").cast("int"))
+    boxed = docs.select(F.struct(*docs.columns).alias("__doc"), F.expr(_NAME).alias("__name"))
+    out = boxed.join(F.broadcast(per_source), "__name", "left")
+    out = out.withColumn("block", F.pmod(F.xxhash64("__doc.doc_id"), "__blocks")).withColumn("__k", F.pmod("block", "__slots").cast("int"))
     out = out.join(F.broadcast(per_slot), ["__name", "__k"], "left")
     base = F.floor(F.col("block") / F.col("__slots")) * frame
     return out.select(
-        *docs.columns,
+        *(F.col(f"__doc.`{c}`") for c in docs.columns if c not in ADDED),
         "block",
         *((base + F.col(f"__{x}")).cast("long").alias(x) for x in ("release", "deadline", "slot")),
         F.coalesce(base + F.col("__slot") < first_gap, F.lit(False)).alias("in_target"),
@@ -93,7 +100,7 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, te
 
 def interleave(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves in the schedule's order (those without a slot last), range-partitioned by it."""
-    order = [F.col("__s").asc_nulls_last(), F.col("__h")]
-    out = schedule(docs, **how).select(*docs.columns, F.col("slot").alias("__s"), F.xxhash64("doc_id", F.lit(3)).alias("__h"))
+    order = [F.col("slot").asc_nulls_last(), F.xxhash64("doc_id", F.lit(3))]
+    out = schedule(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row")), **how)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*docs.columns)
+    return out.select("doc_id", "slot", "__row").repartitionByRange(n, *order).sortWithinPartitions(*order).select("__row.*")
