@@ -28,7 +28,7 @@ from kestrion.llm.common import trimmed
 from kestrion.llm.components import components, union_find
 from kestrion.sources.scratch import Scratch
 
-THRESHOLD, BLOCKS, GRID, CHUNK, TILE = 0.95, 4, 2, 2048, 512
+THRESHOLD, BLOCKS, GRID, CHUNK, TILE = 0.95, 4, 2, 8192, 512
 #: Room for rounding in the block filter; the verification is exact.
 SLACK = 1e-6
 
