@@ -8,10 +8,10 @@ from pyspark.sql import Column, functions as F
 
 #: Public shapes of credentials. `token_assignment` is our own addition.
 PATTERNS = {
-    "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36,}",
+    "aws_access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
+    "github_token": r"gh[pousr]_[0-9A-Za-z]{36,}",
     "api_key": r"\bsk-[0-9A-Za-z_-]{20,}",
-    "jwt": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    "jwt": r"\beyJ[0-9A-Za-z_-]{4,}\.[0-9A-Za-z_-]{4,}\.[0-9A-Za-z_-]{4,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "password_assignment": r"(?i)\b(?:password|passwd|secret|api_key)\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']",
     "token_assignment": r"(?i)\btoken\s*=\s*\"[0-9a-f]{40}\"",
