@@ -17,6 +17,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kestrion.functions import text
+from kestrion.sources.scratch import Scratch
 
 TOP_K, ALPHA, K1, B, LEAST_IDF, DIGITS = 50, 0.6, 1.2, 0.75, 1e-6, 6
 #: Plans whose vectors are broadcast at a time; more are answered in that many at a time.
@@ -35,6 +36,9 @@ def passes(column: str) -> Column:
     return F.coalesce(F.size(wanted) <= 0, F.lit(True)) | F.coalesce(F.array_contains(wanted, F.col(column)), F.lit(False))
 
 
+#: Query terms that are broadcast to the tokens; with more, tokens and terms are shuffled together.
+TERMS_AT_ONCE = 200_000
+
 FILTERS = ("project_id", "doc_type", "language")
 
 
@@ -82,20 +86,67 @@ def phrase_terms(plans: DataFrame, stem: bool = False) -> DataFrame:
     return rows.join(stem_table(rows.select("term").distinct()), "term").drop("term").withColumnRenamed("stem", "term")
 
 
-def phrase_hits(chunks: DataFrame, plans: DataFrame, stem: bool = False) -> DataFrame:
-    """query_id, phrase, chunk_id, tf, dl: adjacent occurrences of each phrase within one column."""
-    met = token_rows(chunks, stem).join(phrase_terms(plans, stem), "term")
+def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """The token rows that a plan asks for, beside its terms; the few terms go to the many tokens after a check of their number."""
+    few = terms.limit(TERMS_AT_ONCE + 1).count() <= TERMS_AT_ONCE
+    return rows.join(F.broadcast(terms) if few else terms, "term")
+
+
+def phrase_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, phrase, chunk_id, tf, dl: adjacent occurrences of each phrase within one column, of token rows and phrase terms."""
+    met = with_terms(rows, terms)
     single = met.where("m = 1").groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     starts = met.where("m > 1").groupBy("query_id", "phrase", "m", "chunk_id", "col", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n"), F.first("dl").alias("dl"))
     several = starts.where("n = m").groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     return single.unionByName(several)
 
 
-def bm25_scores(chunks: DataFrame, plans: DataFrame, stem: bool = False) -> DataFrame:
-    """query_id, chunk_id, bm25 for all chunks with a hit."""
-    hits = phrase_hits(chunks, plans, stem)
+class TermIndex:
+    """Token rows and statistics kept as tables, so that a search reads the terms it asks for and tokenises nothing.
+
+    Rows are partitioned by a hash of the term and sorted by term and chunk, a frequent term over several files: a search prunes folders
+    by bucket and row groups by term.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, rows: DataFrame, stats: DataFrame, stem: bool):
+        self.rows, self.stats, self.stem = rows, stats, stem
+
+    @staticmethod
+    def bucket(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(TermIndex.BUCKETS)).cast("int")
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, stem: bool = False) -> TermIndex:
+        rows = token_rows(chunks, stem).withColumn("bucket", cls.bucket(F.col("term")))
+        order = ["bucket", "term", "chunk_id", "col", "pos"]
+        n = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        rows.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+        corpus_stats(chunks).withColumn("stem", F.lit(stem)).write.mode("overwrite").parquet(f"{path}/stats")
+        return cls.open(chunks.sparkSession, path)
+
+    @classmethod
+    def open(cls, spark, path: str) -> TermIndex:
+        stats = spark.read.parquet(f"{path}/stats")
+        return cls(spark.read.parquet(f"{path}/rows"), stats.select("n", "avgdl"), stats.first().stem)
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """The rows of the terms; pruned by them if they are few."""
+        wanted = [r.term for r in terms.select("term").distinct().limit(1001).collect()]
+        if len(wanted) > 1000:
+            return self.rows
+        buckets = terms.sparkSession.createDataFrame([(w,) for w in wanted] or [("",)], "term string").select(self.bucket(F.col("term")).alias("b")).distinct().collect()
+        return self.rows.where(F.col("bucket").isin([r.b for r in buckets]) & F.col("term").isin(wanted))
+
+
+def bm25_scores(chunks: DataFrame, plans: DataFrame, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
+    """query_id, chunk_id, bm25 for all chunks with a hit; from the index where there is one."""
+    terms = phrase_terms(plans, index.stem if index else stem)
+    hits = phrase_hits(index.of(terms) if index else token_rows(chunks, stem), terms)
+    hits = Scratch(chunks.sparkSession, "search").keep(hits, "hits")  # read twice; tokenising is the dear part
     found = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("n_p"))
-    stats = F.broadcast(corpus_stats(chunks))  # one row
+    stats = F.broadcast(index.stats if index else corpus_stats(chunks))  # one row
     idf = F.log((F.col("n") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -103,9 +154,9 @@ def bm25_scores(chunks: DataFrame, plans: DataFrame, stem: bool = False) -> Data
     return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), DIGITS).alias("bm25"))
 
 
-def bm25_search(chunks: DataFrame, plans: DataFrame, k: int = TOP_K, stem: bool = False) -> DataFrame:
+def bm25_search(chunks: DataFrame, plans: DataFrame, k: int = TOP_K, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
     """query_id, chunk_id, bm25: the keyword arm. Plans without type names and topics find nothing."""
-    return best(filtered(bm25_scores(chunks, plans, stem), chunks, plans), "bm25", k)
+    return best(filtered(bm25_scores(chunks, plans, stem, index), chunks, plans), "bm25", k)
 
 
 def cosine_scores(chunks: DataFrame, queries: list[tuple], k: int) -> DataFrame:
@@ -167,17 +218,20 @@ def merge(bm25: DataFrame, cosine: DataFrame, alpha: float = ALPHA, k: int = TOP
     return best(both.withColumn("final", F.round(alpha * norm + (1 - alpha) * F.col("cosine"), DIGITS)), "final", k)
 
 
-def hybrid_once(chunks: DataFrame, plans: DataFrame, alpha: float = ALPHA, k: int = TOP_K, stem: bool = False) -> DataFrame:
-    return merge(bm25_search(chunks, plans, k, stem), cosine_search(chunks, plans, k), alpha, k)
+def hybrid_once(chunks: DataFrame, plans: DataFrame, alpha: float = ALPHA, k: int = TOP_K, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
+    return merge(bm25_search(chunks, plans, k, stem, index), cosine_search(chunks, plans, k), alpha, k)
 
 
-def hybrid_search(chunks: DataFrame, plans: DataFrame, alpha: float = ALPHA, k: int = TOP_K, stem: bool = False) -> DataFrame:
+def hybrid_search(chunks: DataFrame, plans: DataFrame, alpha: float = ALPHA, k: int = TOP_K, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
     """The blend; plans that find nothing and filter by document type or language are answered once more without these two filters."""
-    strict = hybrid_once(chunks, plans, alpha, k, stem)
+    scratch = Scratch(chunks.sparkSession, "search")
+    strict = scratch.keep(hybrid_once(chunks, plans, alpha, k, stem, index).withColumn("relaxed", F.lit(False)), "strict")  # at most k rows a plan
     nothing = F.array().cast("array<string>")
     narrow = plans.where("size(doc_types) > 0 or size(languages) > 0").join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    relaxed = hybrid_once(chunks, narrow.withColumn("doc_types", nothing).withColumn("languages", nothing), alpha, k, stem)
-    return strict.withColumn("relaxed", F.lit(False)).unionByName(relaxed.withColumn("relaxed", F.lit(True)))
+    narrow = scratch.keep(narrow.withColumn("doc_types", nothing).withColumn("languages", nothing), "narrow")
+    if narrow.isEmpty():
+        return strict
+    return strict.unionByName(hybrid_once(chunks, narrow, alpha, k, stem, index).withColumn("relaxed", F.lit(True)))
 
 
 def resolve_projects(plans: DataFrame, projects: DataFrame) -> DataFrame:

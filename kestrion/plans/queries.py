@@ -153,7 +153,8 @@ def bm25_topk(spark, sf_dir):
 
 @query(search_sql() + " SELECT query_id, phrase - 1 AS phrase, chunk_id, tf FROM hits")
 def bm25_phrase(spark, sf_dir):
-    return search.phrase_hits(corpus.chunks(spark, sf_dir, vectors=False), resolved(spark, sf_dir)).select("query_id", "phrase", "chunk_id", "tf")
+    rows = search.token_rows(corpus.chunks(spark, sf_dir, vectors=False))
+    return search.phrase_hits(rows, search.phrase_terms(resolved(spark, sf_dir))).select("query_id", "phrase", "chunk_id", "tf")
 
 
 @query(search_sql(3, 6) + " SELECT * FROM arm_b")
@@ -161,6 +162,15 @@ def bm25_filtered(spark, sf_dir):
     return search.bm25_search(corpus.chunks(spark, sf_dir, vectors=False), resolved(spark, sf_dir, 3, 6))
 
 
+@query(search_sql() + " SELECT * FROM arm_b")
+def bm25_indexed(spark, sf_dir):
+    """From a written index of terms."""
+    from kestrion.sources.scratch import Scratch
+
+    c = corpus.chunks(spark, sf_dir, vectors=False)
+    return search.bm25_search(c, resolved(spark, sf_dir), index=search.TermIndex.build(c, Scratch(spark, "terms").path("index")))
+
+
 @query()
 def bm25_porter(spark, sf_dir):
     """With stemmed terms; checked against the standard library's SQLite in tests."""
