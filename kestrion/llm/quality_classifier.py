@@ -70,7 +70,7 @@ class Sizes:
 class Calibration:
     """Ridge logistic regression on sizes and their products."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         p = self.expand(x)
         self.mean, self.std = p.mean(axis=0), p.std(axis=0) + 1e-9
         z = self.design(x)
@@ -79,7 +79,7 @@ class Calibration:
         ridge[-1] = 1e-6
         for _ in range(60):
             s = self.sigmoid(z @ self.weights)
-            step = np.linalg.solve((z * (s * (1 - s) + 1e-6)[:, None]).T @ z + np.diag(ridge), z.T @ (s - y) + ridge * self.weights)
+            step = np.linalg.solve((z * (weight * (s * (1 - s) + 1e-6))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (s - y)) + ridge * self.weights)
             self.weights -= step / max(1.0, np.abs(step).max())
             if np.abs(step).max() < 1e-8:
                 break
@@ -148,7 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = np.array([float(r.quality) for r in seen])
     if len(set(y)) < 2:
         return Model(constant=0.5)
-    return Model(good, bad, Calibration(np.array([r.x for r in seen]), y))
+    # the sample may hold an equal number of each class; the labels' own shares are what the score is calibrated to
+    share = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    weight = np.array([share[int(q)] / (y == q).sum() for q in y])
+    return Model(good, bad, Calibration(np.array([r.x for r in seen]), y, weight * len(y) / weight.sum()))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
