@@ -62,12 +62,26 @@ def split_words(text: str) -> list[str]:
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2^32 as compressed byte planes."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 5)
+    """Whole numbers as compressed planes of seven bits: first all lowest, each marked if more follow, then the next of those marked."""
+    rest, planes = numbers.astype(np.int64), []
+    while True:
+        more = rest > 127
+        planes.append(((rest & 127) | (more << 7)).astype(np.uint8).tobytes())
+        rest = rest[more] >> 7
+        if not len(rest):
+            return len(numbers).to_bytes(8, "little") + zstandard.compress(b"".join(planes), 5)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    raw, n = np.frombuffer(zstandard.decompress(blob[8:]), np.uint8), int.from_bytes(blob[:8], "little")
+    out, at, shift, start = np.zeros(n, np.int64), slice(None), 0, 0
+    while n:
+        plane = raw[start : start + n]
+        out[at] += (plane & 127).astype(np.int64) << shift
+        marked = np.flatnonzero(plane > 127)
+        at = marked if isinstance(at, slice) else at[marked]
+        start, n, shift = start + n, len(marked), shift + 7
+    return out
 
 
 def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK) -> DataFrame:

@@ -293,6 +293,12 @@ def test_bpe_equals_the_library(spark, docs, odd):
     assert digests(bpe.encode_decode(odd.where("doc_id in (1, 2)"), path)) == brute_bpe([None, ""])
 
 
+def test_bpe_packing():
+    r = np.random.default_rng(6)
+    for numbers in ([], [0], [127, 128, 16383, 16384, 2**32 - 1], r.integers(0, 2**21, 1000), r.integers(0, 100, 50)):
+        assert bpe.unpack(bpe.pack(np.array(numbers, np.int64))).tolist() == list(numbers)
+
+
 def test_bpe_words_of_any_characters():
     t, r = bpe.tokenizer(entry.tokenizer_path()), random.Random(3)
     kinds = [list(map(chr, range(0, 0x250))) + list("́̈  ΣσςİıK日😀٠²"), list(map(chr, range(32, 127))) + list("\n\t'_éÉßſ")]
