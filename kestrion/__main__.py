@@ -1,4 +1,4 @@
-"""Command line: configure, sync, retrieve, diagnose."""
+"""Command line: configure, sync, retrieve, diagnose, server."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession, functions as F
 
 from kestrion.functions import models
+from kestrion.functions.service import Service
 from kestrion.operators import index, retrieve
 from kestrion.operators.planning import DOC_TYPES, LANGUAGES, LISTS
 from kestrion.sources import config as configs, telemetry
@@ -37,6 +38,7 @@ def arguments() -> argparse.ArgumentParser:
     sync.add_argument("--domain")
     sync.add_argument("--dry-run", action="store_true")
     commands.add_parser("retrieve").add_argument("prompt", nargs="?")
+    commands.add_parser("server").add_argument("action", choices=("start", "stop", "status", "logs"))
     diagnose = commands.add_parser("diagnose")
     diagnose.add_argument("prompt")
     for name in LISTS:
@@ -48,10 +50,12 @@ def arguments() -> argparse.ArgumentParser:
 
 
 def client_of(service: configs.Service) -> models.ChatClient | None:
-    client = models.ChatClient(service.url, service.model, service.protocol, os.environ.get(service.key_env, ""), service.timeout_ms / 1000)
-    if service.mode == "http" or (service.mode == "auto" and models.reachable(service.url)):
-        return client
-    return None
+    if service.mode == "rules":
+        return None
+    key = models.require_key(service.key_env) if service.key_env else ""
+    model = models.resolve_model(service.model, service.aliases, service.protocol)
+    client = models.ChatClient(service.url, model, service.protocol, key, service.timeout_ms / 1000)
+    return client if service.mode == "http" or models.reachable(service.url) else None
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -62,6 +66,11 @@ def main(argv: list[str] | None = None) -> int:
         print("written" if configs.seed(path, args.force) else "kept", path)
         return 0
     config = configs.load(path) if os.path.exists(path) else configs.Config()
+    if args.command == "server":
+        server = Service(home, config.embeddings.launcher_cmd, config.embeddings.url)
+        got = getattr(server, args.action)()
+        print("\n".join(got) if isinstance(got, list) else got)
+        return 0
     spark = SparkSession.builder.appName("kestrion").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     e = config.embeddings
     timeout = (e.sync_timeout_ms if args.command == "sync" else e.query_timeout_ms) / 1000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import socket
 import urllib.request
@@ -111,6 +112,23 @@ class ChatClient:
             raise ModelError("no content in the reply") from error
 
 
+def resolve_model(name: str, aliases: dict[str, str], protocol: str) -> str:
+    """A model's full name. Aliases belong to the `messages` protocol; elsewhere an alias is a mistake that is told at once."""
+    if protocol == "messages":
+        return aliases.get(name, name)
+    if name.strip().lower() in aliases:
+        raise ModelError(f"{name!r} is an alias of the messages protocol; name the provider's own model")
+    return name
+
+
+def require_key(variable: str) -> str:
+    """The key in an environment variable."""
+    key = os.environ.get(variable, "").strip()
+    if not key:
+        raise ModelError(f"set {variable}")
+    return key
+
+
 PLAN_PROMPT = (
     "Decide what project knowledge would help with the user's prompt. Answer with one JSON object: "
     '{"skip": true} if none would, else lists of strings named projects, type_names, topics, doc_types (contract, plan, convention, meta) '

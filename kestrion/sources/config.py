@@ -29,6 +29,7 @@ class Service:
     protocol: str = "openai"
     key_env: str = ""
     timeout_ms: int = 3000
+    aliases: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ class Embeddings:
     url: str = ""
     model: str = "stub"
     dims: int = 768
+    launcher_cmd: str = ""
     query_timeout_ms: int = 3000
     sync_timeout_ms: int = 60_000
 

@@ -32,11 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[app]
 
 
+_USED: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application's operators have kept; their results must have been written or read by then."""
+    for base in _USED.pop(spark.sparkContext.applicationId, []):
+        Scratch.delete(spark, base)
+
+
 class Scratch:
     """Tables of one operator call, each below a folder of its own."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        _USED.setdefault(spark.sparkContext.applicationId, []).append(self.base)
         self.paths: dict[int, tuple[str, DataFrame]] = {}
 
     def path(self, name: str) -> str:
@@ -54,9 +64,9 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Deletes what `keep` wrote for frames that nothing reads any more."""
         for df in frames:
-            self.delete(self.paths.pop(id(df))[0])
+            self.delete(self.spark, self.paths.pop(id(df))[0])
 
-    def delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    @staticmethod
+    def delete(spark: SparkSession, path: str) -> None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

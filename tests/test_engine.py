@@ -240,6 +240,52 @@ def test_http_services():
     server.shutdown()
 
 
+def test_service(tmp_path, monkeypatch):
+    import socket
+    import sys
+
+    from kestrion.functions.service import Service, ServiceError, split_command
+
+    assert split_command(' a "b c" d"e f" "" ') == ["a", "b c", "de f", ""]
+    for bad in ("", " ", 'a "b'):
+        with pytest.raises(ServiceError):
+            split_command(bad)
+    with socket.socket() as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    monkeypatch.setenv("SOME_KEY", "secret")
+    script = f"import http.server, os; print('SOME_KEY' in os.environ, flush=True); http.server.HTTPServer(('127.0.0.1', {port}), http.server.BaseHTTPRequestHandler).serve_forever()"
+    (tmp_path / "s.py").write_text(script)
+    server = Service(str(tmp_path / "h"), f'"{sys.executable}" "{tmp_path / "s.py"}"', f"http://127.0.0.1:{port}")
+    assert server.status() == "stopped" and server.logs() == [] and not server.stop()
+    assert server.start() == "ready" == server.start() and server.alive() and server.logs()[0] == "False"
+    assert server.stop() and server.pid() is None
+    (tmp_path / "h" / "server.pid").write_text("x")
+    with pytest.raises(ServiceError):
+        server.pid()
+
+
+def test_model_names(monkeypatch):
+    assert models.resolve_model("small", {"small": "small-1"}, "messages") == "small-1" and models.resolve_model("x", {"small": "s"}, "openai") == "x"
+    with pytest.raises(models.ModelError):
+        models.resolve_model("Small", {"small": "small-1"}, "openai")
+    monkeypatch.setenv("K", " k ")
+    assert models.require_key("K") == "k"
+    with pytest.raises(models.ModelError):
+        models.require_key("NO_SUCH_KEY")
+
+
+def test_scratch_is_cleared(spark):
+    from kestrion.sources import scratch
+
+    kept = scratch.Scratch(spark, "t")
+    df = kept.keep(spark.range(3), "x")
+    assert df.count() == 3 and df.inputFiles()
+    scratch.clear(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        df.count()
+
+
 def test_streams(spark, tmp_path):
     from kestrion.streaming import jobs
 
