@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrion.llm import bpe, embedding_dedup, html_extract, language_id, minhash, mixing, quality_classifier, quality_rules, token_counts, url_filter
+from kestrion.llm import bpe, embedding_dedup, html_extract, language_id, minhash, mixing, oracles, quality_classifier, quality_rules, token_counts, url_filter
 from kestrion.sources.tables import table
 
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -31,6 +31,7 @@ REGION = frozenset(("article", "main"))
 CONTAINER = frozenset("body div section td blockquote".split())
 CLOSED_BY = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SKIP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination paywall popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
+HEADERS = frozenset(("header", "masthead"))  # inside an article they hold its own title
 SKIP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIGMA, RADIUS = 1.0, 2
@@ -39,7 +40,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _KERNEL = np.exp(-(np.arange(-RADIUS, RADIUS + 1) ** 2) / (2 * SIGMA**2))
 
 
-def _hidden(tag: str, attrs: dict) -> bool:
+def _hidden(tag: str, attrs: dict, inside: bool) -> bool:
     if tag in ("html", "body", "main", "article"):
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").strip().lower() in SKIP_ROLES:
@@ -47,7 +48,8 @@ def _hidden(tag: str, attrs: dict) -> bool:
     style = (attrs.get("style") or "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
         return True
-    return any(n in SKIP_NAMES for k in ("class", "id") for n in _NAME.findall(_CAMEL.sub(" ", attrs.get(k) or "").lower()))
+    names = SKIP_NAMES - HEADERS if inside else SKIP_NAMES
+    return any(n in names for k in ("class", "id") for n in _NAME.findall(_CAMEL.sub(" ", attrs.get(k) or "").lower()))
 
 
 class Lines(HTMLParser):
@@ -90,7 +92,7 @@ class Lines(HTMLParser):
                 break
         self.number += 1
         inside = any(name in REGION for name, _, _ in self.open)
-        skip = self.skipped() or tag in SKIP or (tag == "header" and not inside) or _hidden(tag, dict(attrs))
+        skip = self.skipped() or tag in SKIP or (tag == "header" and not inside) or _hidden(tag, dict(attrs), inside)
         self.open.append((tag, skip, self.number))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:

@@ -8,10 +8,11 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from kestrion.llm import bpe, embedding_dedup, entry, html_extract, language_id, minhash, mixing, quality_classifier, quality_rules, token_counts, url_filter
+from kestrion.llm import bpe, embedding_dedup, entry, html_extract, language_id, minhash, mixing, oracles, quality_classifier, quality_rules, token_counts, url_filter
 from kestrion.llm.common import WordHash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -413,6 +414,22 @@ def test_links_spread_trust_and_distrust(spark):
     rows = [(1, "http://bad.com/en/1", "<a href='http://other.org/'>"), page(2, "farm.org", "bad.com", "bad.com"), page(3, "fan.org", "farm.org"), page(4, "clean.org", "good.org"), (5, "http://example.com/en/7", '<a href="https://liked.org/">'), page(6, "liked.org"), page(7, "bad.com"), page(8, "other.org")]
     found = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert {r[0]: r[4] for r in con.execute(oracles.SQL["op9_url_filter"]).fetchall()} == found
+
+
+@pytest.mark.parametrize("name", sorted(oracles.SQL))
+def test_queries_match_sql(spark, data, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    want = con.execute(oracles.SQL[name])
+    columns = [d[0] for d in want.description]
+    got = entry.queries()[name](spark, data)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(want.fetchall())
 
 
 def test_spread_is_personalised_pagerank(spark):
