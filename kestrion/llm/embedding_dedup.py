@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kestrion.llm.common import trimmed
 from kestrion.llm.components import components, union_find
@@ -74,25 +74,36 @@ def place(vectors: DataFrame, threshold: float, blocks: int, grid: int) -> DataF
     return vectors.select("id", "copies", "v").mapInArrow(trimmed(run), "id long, copies long, v array<float>, dims int, block int, cell array<long>")
 
 
-def tasks(counts: list, chunk: int, grid: int) -> tuple[list, list]:
-    """Chunks of each cell: (dims, block, cell, chunks), and pairs of chunks that meet: (chunk, task, side), side 2 where a chunk meets itself."""
+def cell_plan(counts: list, chunk: int, grid: int) -> tuple[list, list]:
+    """(dims, block, cell, number of chunks, first chunk) of each cell, and (first, number, first, number) of the chunks of cells that meet.
+
+    Both are bounded by the grid, whatever the number of vectors.
+    """
     n_chunks = {(r.dims, r.block, tuple(r.cell)): -(-r.n // chunk) for r in counts}
     first, total = {}, 0
     for key in sorted(n_chunks):
         first[key], total = total, total + n_chunks[key]
     steps = [s for s in np.ndindex(*[3] * grid) if s >= (1,) * grid]  # this cell and half of its neighbours
-    meet, task = [], 0
+    pairs = []
     for dims, block, cell in sorted(n_chunks):
+        own = (dims, block, cell)
         for step in steps:
             other = (dims, block, tuple(c + int(s) - 1 for c, s in zip(cell, step)))
-            if other not in n_chunks:
-                continue
-            own = (dims, block, cell)
-            for i in range(first[own], first[own] + n_chunks[own]):
-                for j in range(max(i, first[other]) if own == other else first[other], first[other] + n_chunks[other]):
-                    meet += [(i, task, 2)] if i == j else [(i, task, 0), (j, task, 1)]
-                    task += 1
-    return [(d, b, list(c), n, first[d, b, c]) for d, b, c in sorted(n_chunks) for n in [n_chunks[d, b, c]]], meet
+            if other in n_chunks:
+                pairs.append((first[own], n_chunks[own], first[other], n_chunks[other]))
+    return [(d, b, list(c), n_chunks[d, b, c], first[d, b, c]) for d, b, c in sorted(n_chunks)], pairs
+
+
+def meetings(pairs: DataFrame) -> DataFrame:
+    """chunk, i, j, side of every two chunks i, j that meet: side 0 and 1, or 2 where a chunk meets itself."""
+
+    def each(first: str, number: str) -> Column:
+        return F.explode(F.sequence(F.col(first), F.col(first) + F.col(number) - 1))
+
+    both = pairs.select("*", each("fa", "na").alias("i")).select("*", each("fb", "nb").alias("j")).where("fa <> fb or i <= j")
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("chunk"), F.lit(2).alias("side"))))
+    sides = sides.otherwise(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side"))))
+    return both.select("i", "j", F.explode(sides).alias("s")).select("s.chunk", "i", "j", "s.side")
 
 
 def compare(left: np.ndarray, right: np.ndarray, same: bool, block: int, threshold: float, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,11 +139,11 @@ def compare(left: np.ndarray, right: np.ndarray, same: bool, block: int, thresho
 def join(placed: DataFrame, counts: list, threshold: float, blocks: int, grid: int, chunk: int) -> DataFrame:
     """id, n, root: links found in a task, and the least vector that they join the id to there."""
     spark = placed.sparkSession
-    per_cell, meet = tasks(counts, chunk, grid)
-    # both are bounded by the occupied cells and the pairs of chunks that this job compares
-    dealt = placed.join(F.broadcast(spark.createDataFrame(per_cell, "dims int, block int, cell array<long>, chunks int, first int")), ["dims", "block", "cell"])
-    dealt = dealt.withColumn("chunk", (F.col("first") + F.pmod(F.xxhash64("id", "block"), "chunks")).cast("int"))
-    dealt = dealt.join(spark.createDataFrame(meet, "chunk int, task int, side int"), "chunk").select("task", "side", "block", "id", "copies", "v")
+    per_cell, pairs = cell_plan(counts, chunk, grid)
+    dealt = placed.join(F.broadcast(spark.createDataFrame(per_cell, "dims int, block int, cell array<long>, chunks long, first long")), ["dims", "block", "cell"])
+    dealt = dealt.withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("id", "block"), "chunks"))
+    meet = meetings(spark.createDataFrame(pairs, "fa long, na long, fb long, nb long"))
+    dealt = dealt.join(meet, "chunk").select("i", "j", "side", "block", "id", "copies", "v")
 
     def run(rows: pa.Table) -> pa.Table:
         ids, copies, side = (rows[c].to_numpy() for c in ("id", "copies", "side"))
@@ -155,7 +166,7 @@ def join(placed: DataFrame, counts: list, threshold: float, blocks: int, grid: i
         some = n > 0
         return pa.table({"id": ids[some], "n": n[some], "root": np.array([top.get(i, i) for i in ids[some].tolist()], np.int64)}, pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
 
-    return dealt.groupBy("task").applyInArrow(run, "id long, n long, root long")
+    return dealt.groupBy("i", "j").applyInArrow(run, "id long, n long, root long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, grid: int = GRID, chunk: int = CHUNK) -> DataFrame:
