@@ -297,7 +297,7 @@ def test_bpe_equals_the_library(spark, docs, odd):
 def test_bpe_packing():
     r = np.random.default_rng(6)
     for numbers in ([], [0], [127, 128, 16383, 16384, 2**32 - 1], r.integers(0, 2**21, 1000), r.integers(0, 100, 50)):
-        assert bpe.unpack(bpe.pack(np.array(numbers, np.int64))).tolist() == list(numbers)
+        assert bpe.unpack(bpe.pack(np.array(numbers, np.int64))).tolist() == list(numbers) == bpe.unpack_ids(bpe.pack_ids(np.array(numbers, np.int64))).tolist()
 
 
 def test_bpe_words_of_any_characters():
