@@ -55,17 +55,24 @@ def filtered(scored: DataFrame, chunks: DataFrame, plans: DataFrame) -> DataFram
     return out.select(scored.columns)
 
 
-def token_rows(chunks: DataFrame, stem: bool = False) -> DataFrame:
-    """chunk_id, col, pos, term, dl: the inverted index's rows; dl is the chunk's number of tokens over both columns."""
+def token_rows(chunks: DataFrame, stem: bool = False, marks: bool = False) -> DataFrame:
+    """chunk_id, col, pos, term, dl: the inverted index's rows; dl is the chunk's number of tokens over both columns.
+
+    With `marks` also one row a chunk without a term, from which the corpus statistics follow.
+    """
     found = chunks.select("chunk_id", text.tokens(F.col("label")).alias("t0"), text.tokens(F.col("content")).alias("t1"))
     found = found.withColumn("dl", F.coalesce(F.size("t0"), F.lit(0)) + F.coalesce(F.size("t1"), F.lit(0)))
-    columns = F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("col"), F.col("t1").alias("t"))))
+    lists = [F.struct(F.lit(0).alias("col"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("col"), F.col("t1").alias("t"))]
+    if marks:
+        lists.append(F.struct(F.lit(2).alias("col"), F.array(F.lit(None).cast("string")).alias("t")))
+    columns = F.explode(F.array(*lists))
     rows = found.select("chunk_id", "dl", columns.alias("c")).select("chunk_id", "dl", "c.col", F.posexplode("c.t").alias("pos", "term"))
     if not stem:
         return rows
     from kestrion.functions.stem import stem_table
 
-    return rows.join(stem_table(rows.select("term").distinct()), "term").drop("term").withColumnRenamed("stem", "term")
+    stemmed = stem_table(rows.where("term is not null").select("term").distinct())
+    return rows.join(stemmed, "term", "left").drop("term").withColumnRenamed("stem", "term")
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -87,14 +94,13 @@ def phrase_terms(plans: DataFrame, stem: bool = False) -> DataFrame:
 
 
 def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """The token rows that a plan asks for, beside its terms; the few terms go to the many tokens after a check of their number."""
+    """The token rows that a plan asks for, beside its terms, and the rows without a term; the few terms go to the many tokens after a check of their number."""
     few = terms.limit(TERMS_AT_ONCE + 1).count() <= TERMS_AT_ONCE
-    return rows.join(F.broadcast(terms) if few else terms, "term")
+    return rows.join(F.broadcast(terms) if few else terms, "term", "left").where("m is not null or term is null")
 
 
-def phrase_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, phrase, chunk_id, tf, dl: adjacent occurrences of each phrase within one column, of token rows and phrase terms."""
-    met = with_terms(rows, terms)
+def phrase_hits(met: DataFrame) -> DataFrame:
+    """query_id, phrase, chunk_id, tf, dl: adjacent occurrences of each phrase within one column, from token rows beside phrase terms."""
     single = met.where("m = 1").groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     starts = met.where("m > 1").groupBy("query_id", "phrase", "m", "chunk_id", "col", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n"), F.first("dl").alias("dl"))
     several = starts.where("n = m").groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
@@ -143,10 +149,12 @@ class TermIndex:
 def bm25_scores(chunks: DataFrame, plans: DataFrame, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
     """query_id, chunk_id, bm25 for all chunks with a hit; from the index where there is one."""
     terms = phrase_terms(plans, index.stem if index else stem)
-    hits = phrase_hits(index.of(terms) if index else token_rows(chunks, stem), terms)
-    hits = Scratch(chunks.sparkSession, "search").keep(hits, "hits")  # read twice; tokenising is the dear part
+    met = with_terms(index.of(terms) if index else token_rows(chunks, stem, marks=True), terms)
+    if not index:  # tokenising is the dear part: once for hits, their numbers and the statistics
+        met = Scratch(chunks.sparkSession, "search").keep(met, "met")
+    hits = phrase_hits(met)
     found = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("n_p"))
-    stats = F.broadcast(index.stats if index else corpus_stats(chunks))  # one row
+    stats = F.broadcast(index.stats if index else met.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
     idf = F.log((F.col("n") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -154,7 +154,7 @@ def bm25_topk(spark, sf_dir):
 @query(search_sql() + " SELECT query_id, phrase - 1 AS phrase, chunk_id, tf FROM hits")
 def bm25_phrase(spark, sf_dir):
     rows = search.token_rows(corpus.chunks(spark, sf_dir, vectors=False))
-    return search.phrase_hits(rows, search.phrase_terms(resolved(spark, sf_dir))).select("query_id", "phrase", "chunk_id", "tf")
+    return search.phrase_hits(search.with_terms(rows, search.phrase_terms(resolved(spark, sf_dir)))).select("query_id", "phrase", "chunk_id", "tf")
 
 
 @query(search_sql(3, 6) + " SELECT * FROM arm_b")
