@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from kestrion.llm.common import release, sub_batches, trimmed
 from kestrion.sources.scratch import Scratch
 
-CHUNK = 9_000_000
+CHUNK = 6_500_000
 #: The fixed pattern by which the tokenizer splits; `_` and digits beyond \\d are told apart below.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+")
 #: Texts of these characters only are split by _SPLIT just as by the tokenizer; others word by word by the library itself.
@@ -63,10 +63,10 @@ def split_words(text: str) -> list[str]:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Whole numbers as compressed planes of seven bits: first all lowest, each marked if more follow, then the next of those marked."""
-    rest, planes = numbers.astype(np.int64), []
+    rest, planes = numbers.astype(np.uint32, copy=False), []
     while True:
         more = rest > 127
-        planes.append(((rest & 127) | (more << 7)).astype(np.uint8).tobytes())
+        planes.append((rest.astype(np.uint8) & 127 | more.astype(np.uint8) << 7).tobytes())
         rest = rest[more] >> 7
         if not len(rest):
             return len(numbers).to_bytes(8, "little") + zstandard.compress(b"".join(planes), 5)
@@ -74,10 +74,10 @@ def pack(numbers: np.ndarray) -> bytes:
 
 def unpack(blob: bytes) -> np.ndarray:
     raw, n = np.frombuffer(zstandard.decompress(blob[8:]), np.uint8), int.from_bytes(blob[:8], "little")
-    out, at, shift, start = np.zeros(n, np.int64), slice(None), 0, 0
+    out, at, shift, start = np.zeros(n, np.uint32), slice(None), 0, 0
     while n:
         plane = raw[start : start + n]
-        out[at] += (plane & 127).astype(np.int64) << shift
+        out[at] += (plane & 127).astype(np.uint32) << np.uint32(shift)
         marked = np.flatnonzero(plane > 127)
         at = marked if isinstance(at, slice) else at[marked]
         start, n, shift = start + n, len(marked), shift + 7
@@ -91,7 +91,7 @@ def pack_ids(ids: np.ndarray) -> bytes:
 
 
 def unpack_ids(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
+    return np.frombuffer(zstandard.decompress(blob[1:]), f"<u{blob[0]}").astype("<u4")
 
 
 def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK) -> DataFrame:
@@ -108,6 +108,7 @@ def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK) -> Data
 
         def made() -> pa.RecordBatch:
             flat = np.concatenate(places)
+            places.clear()
             rank = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
             number = np.empty(len(words), np.int32)
             number[rank] = np.arange(len(words))
@@ -175,24 +176,26 @@ def assemble(chunks: DataFrame, encoded: DataFrame, path: str) -> DataFrame:
 
     def lay_out(chunk: pa.Table, rows: pa.Table) -> pa.Table:
         release()
-        out_doc, out_ids, out_text = [], [], []
         by_share = np.argsort(rows["share"].to_numpy())
-        counts, ids = (np.concatenate([np.zeros(0, np.int64), *(read(rows[c][int(i)].as_py()) for i in by_share)]) for c, read in (("counts", unpack), ("ids", unpack_ids)))
+        counts, ids = (np.concatenate([np.zeros(0, "<u4"), *(read(rows[c][int(i)].as_py()) for i in by_share)]) for c, read in (("counts", unpack), ("ids", unpack_ids)))
+        made = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.string())})]
         for doc_ids, sizes, places, share_of in zip(*(chunk[c].to_pylist() for c in ("doc_ids", "counts", "places", "share_of"))):
             order = np.argsort(unpack(share_of), kind="stable")  # numbers in the order in which the shares list them
             per_word, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-            per_word[order], start[order] = counts, np.cumsum(counts) - counts
+            per_word[order], start[order] = counts, np.cumsum(counts, dtype=np.int64) - counts
             texts = [" ".join(pieces.value[ids[a : a + n]]) for a, n in zip(start.tolist(), per_word.tolist())]
             at, numbers = 0, unpack(places)
-            for doc_id, n in zip(doc_ids, sizes):
-                mine = numbers[at : at + n]
-                at += n
-                each = per_word[mine]
-                shift = np.repeat(start[mine] - (np.cumsum(each) - each), each)
-                out_doc.append(doc_id)
-                out_ids.append(ids[shift + np.arange(len(shift))].astype("<u4").tobytes())
-                out_text.append(" ".join([t for t in map(texts.__getitem__, mine.tolist()) if t]))
-        return pa.table([pa.array(out_doc, pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string())], names=["doc_id", "ids", "decoded"])
+            for low in range(0, len(doc_ids), 200):  # a few texts at a time become columns, so that nothing is held twice
+                out_ids, out_text = [], []
+                for n in sizes[low : low + 200]:
+                    mine = numbers[at : at + n].astype(np.int64)
+                    at += n
+                    each = per_word[mine]
+                    shift = np.repeat(start[mine] - (np.cumsum(each) - each), each)
+                    out_ids.append(ids[shift + np.arange(len(shift))].tobytes())
+                    out_text.append(" ".join([t for t in map(texts.__getitem__, mine.tolist()) if t]))
+                made.append(pa.table({"doc_id": pa.array(doc_ids[low : low + 200], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())}))
+        return pa.concat_tables(made)
 
     joined = chunks.select("chunk", "doc_ids", "counts", "places", "share_of").groupBy("chunk").cogroup(encoded.groupBy("chunk"))
     return joined.applyInArrow(lay_out, "doc_id long, ids binary, decoded string")
