@@ -10,9 +10,10 @@ weighted Jaccard similarity.
 Documents that agree in all coordinates of a band are candidates. Exact copies are one class from the start, so that hot
 groups of them are reduced before anything is joined. In a band's group of up to `SMALL` classes each meets each. In a
 larger one every class meets the `CENTRES` classes that meet the most others (in a family of copies, those nearest to its
-middle). Classes of large groups that still have no link are joined with all of them on their rarest shingles: sets of the similarity share one of
-their rarest (1 - similarity) n + 1, and a passage that many documents share is not among these. So a large family costs a
-few comparisons a member, and a class without a link has met every class that it could be linked to.
+middle). What is linked by then is contracted to components, and classes of large groups that lie in different components are
+joined on their rarest shingles: sets of the similarity share one of their rarest (1 - similarity) n + 1, and a passage that
+many documents share is not among these. So a large family costs a few comparisons a member, and every two classes of large
+groups that could be linked either are in one component or have met.
 Pairs whose sizes or signatures (four bits of each coordinate) rule the similarity out are told apart inside
 the joins; what is left is verified exactly on sets of shingles.
 
@@ -210,21 +211,32 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     return ranked.select("id", "n", F.posexplode(F.slice("r", F.lit(1), length)).alias("place", "e")).select("id", "n", "e.s", "place")
 
 
-def prefix_pairs(rare: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of an id of `left` with any that shares a rare shingle.
+def prefix_pairs(rare: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids of `parts` (id, component) in different components that share a rare shingle.
 
-    The first shingle that two sets share leaves at most what stands behind it to share; that must reach the overlap that
-    the similarity needs. The join tells by size and place.
+    Without a component each id is one of its own. The first shingle that two sets share leaves at most what stands behind it
+    to share; that must reach the overlap that the similarity needs. Components meet first, told apart by the extremes of
+    their members, so that those of one component never meet; then their members do, told apart by size and place.
     """
-    other = rare.select("s", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
-    reach = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
-    enough = reach >= (F.col("n") + F.col("n_b")) * F.lit(threshold / (1 + threshold)) - 1e-6
-    met = rare.join(left, "id", "left_semi").join(other, "s").where((F.col("id") != F.col("id_b")) & near(F.col("n"), F.col("n_b"), threshold) & enough)
+    if "component" not in parts.columns:
+        parts = parts.select("id", F.col("id").alias("component"))
+
+    def enough(n_a, n_b, left_a, left_b):
+        return F.least(left_a, left_b) >= (n_a + n_b) * F.lit(threshold / (1 + threshold)) - 1e-6
+
+    rare = rare.join(parts, "id").select("s", "component", "id", "n", (F.col("n") - F.col("place")).alias("left"))
+    held = rare.groupBy("s", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"))
+    other = held.select("s", *(F.col(c).alias(f"{c}_b") for c in ("component", "low", "high", "left")))
+    sizes = (F.col("high") >= F.lit(threshold) * F.col("low_b")) & (F.col("high_b") >= F.lit(threshold) * F.col("low"))
+    meet = held.join(other, "s").where((F.col("component") < F.col("component_b")) & sizes & enough(F.col("low"), F.col("low_b"), F.col("left"), F.col("left_b")))
+    met = meet.select("s", "component", "component_b").join(rare, ["s", "component"])
+    met = met.join(rare.select("s", *(F.col(c).alias(f"{c}_b") for c in ("component", "id", "n", "left"))), ["s", "component_b"])
+    met = met.where(near(F.col("n"), F.col("n_b"), threshold) & enough(F.col("n"), F.col("n_b"), F.col("left"), F.col("left_b")))
     return met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, scratch: Scratch, words: int = WORDS, threshold: float = THRESHOLD, k: int = BANDS * ROWS, small: int = SMALL, centres: int = CENTRES) -> DataFrame:
-    """Verified links (a, b) between classes."""
+    """Links (a, b) between classes with the components of the verified ones; where groups are large, they need not be verified ones themselves."""
     nulls = signed.where("text_key is null").select("doc_id")
     reps = signed.join(classes.select(F.col("class_id").alias("doc_id")).unionByName(nulls), "doc_id", "left_semi").where("n_shingles > 0")
     reps = scratch.keep(reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "keys", "bits"), "reps")
@@ -247,13 +259,15 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, scratch: Scrat
         pairs = scratch.keep(pairs_of(many, middle, threshold, k), "pairs")
         found.append(scratch.keep(verify(pairs, sets, threshold), "links"))
         scratch.drop(pairs, middle)
-        linked = found[-1].select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        stars = components(reduce(DataFrame.unionByName, found).select("a", "b"), scratch)
+        scratch.drop(*found)
         inside = scratch.keep(many.select("id").distinct(), "inside")
-        rest = scratch.keep(inside.join(linked, "id", "left_anti"), "rest")
+        parts = inside.join(stars.withColumnRenamed("node", "id"), "id", "left")
+        parts = scratch.keep(parts.select("id", F.coalesce("component", "id").alias("component")), "parts")
         rare = scratch.keep(prefixes(sets.join(inside.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), threshold), "prefixes")
-        pairs = scratch.keep(prefix_pairs(rare, rest, threshold), "pairs")
-        found.append(scratch.keep(verify(pairs, sets, threshold), "links"))
-        scratch.drop(pairs, rare, rest, inside)
+        pairs = scratch.keep(prefix_pairs(rare, parts, threshold), "pairs")
+        found = [stars.select(F.col("node").alias("a"), F.col("component").alias("b")), scratch.keep(verify(pairs, sets, threshold), "links").select("a", "b")]
+        scratch.drop(pairs, rare, parts, inside)
     return reduce(DataFrame.unionByName, found).select("a", "b")
 
 

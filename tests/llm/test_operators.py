@@ -85,6 +85,30 @@ def test_minhash_groups(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def adjoining(seed, n=40):
+    """Two large families whose middles are far apart, and a member of each that are near to each other."""
+    base = [f"w{seed}x{i}" for i in range(300)]
+
+    def edited(places, mark):
+        return " ".join(f"{w}{mark}" if i in places else w for i, w in enumerate(base))
+
+    other = {20 * i + 7 for i in range(12)}  # six edits of 300 words keep 0.8, seven don't
+    places = sorted(other)
+    base_b = [f"{w}v" if i in other else w for i, w in enumerate(base)]
+    near_a, near_b = edited(set(places[:3]), "v"), edited(set(places[:9]), "v")
+    own = [9 + 7 * i for i in range(n)]
+    copies_a = [edited({i}, "a") for i in own]
+    copies_b = [" ".join(f"{w}b" if i == k else w for i, w in enumerate(base_b)) for k in own]
+    return [" ".join(base), *copies_a, near_a, " ".join(base_b), *copies_b, near_b]
+
+
+def test_minhash_joins_adjoining_families(spark):
+    texts = [t for seed in range(8) for t in adjoining(seed)]
+    found = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    expected = brute_groups(texts)
+    assert len(set(expected)) == 8 and found == dict(enumerate(expected))
+
+
 def test_minhash_on_documents(spark, docs):
     rows = sorted(docs.select("doc_id", "text").collect())
     found = {r.doc_id: r.component_id for r in minhash.groups(docs).collect()}
