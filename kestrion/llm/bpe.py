@@ -94,8 +94,8 @@ def unpack_ids(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob[1:]), f"<u{blob[0]}").astype("<u4")
 
 
-def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK) -> DataFrame:
-    """chunk, doc_ids, counts (words of each text), places (the texts' words as numbers), share_of, words.
+def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK, also: tuple[str, ...] = ()) -> DataFrame:
+    """chunk, doc_ids, counts (words of each text), places (the texts' words as numbers), share_of, words, and a list of each of the columns `also`.
 
     A chunk's distinct words are numbered by falling frequency; share_of tells by number to which of the table's `shares` a
     word belongs (a hash of the word), words has each share's words in order of their numbers.
@@ -105,6 +105,7 @@ def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK) -> Data
         base, n = TaskContext.get().partitionId() << 32, 0
         words: dict[str, int] = {}
         ids, counts, places, size = [], [], [], 0
+        others: list[list] = [[] for _ in also]
 
         def made() -> pa.RecordBatch:
             flat = np.concatenate(places)
@@ -119,26 +120,33 @@ def split_chunks(docs: DataFrame, shares: int, chunk_chars: int = CHUNK) -> Data
                 dealt[share].append(known[at])
             blobs = [zstandard.compress("\n".join(x).encode(), 5) if x else None for x in dealt]
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([pack(number[flat])], pa.binary()), pa.array([pack(share_of)], pa.binary()), pa.array([blobs], pa.list_(pa.binary()))],
-                names=["chunk", "doc_ids", "counts", "places", "share_of", "words"],
+                [pa.array([base + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([pack(number[flat])], pa.binary()), pa.array([pack(share_of)], pa.binary()), pa.array([blobs], pa.list_(pa.binary())), *(pa.array([x], pa.list_(t)) for x, t in zip(others, types))],
+                names=["chunk", "doc_ids", "counts", "places", "share_of", "words", *also],
             )
 
         for part, texts in sub_batches(batches, "text"):
-            for doc_id, text in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts):
+            more = [part.column(part.schema.get_field_index(c)) for c in also]
+            types = [c.type for c in more]
+            for doc_id, text, *values in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts, *(c.to_pylist() for c in more)):
                 if ids and size + len(text or "") > chunk_chars:
                     yield made()
                     n += 1
                     words.clear()
                     ids, counts, places, size = [], [], [], 0
+                    others = [[] for _ in also]
                 found = split_words(text or "")
                 places.append(np.fromiter([words.setdefault(w, len(words)) for w in found], np.int32, len(found)))
                 ids.append(doc_id)
+                for x, value in zip(others, values):
+                    x.append(value)
                 counts.append(len(found))
                 size += len(text or "")
         if ids:
             yield made()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(split), "chunk long, doc_ids array<long>, counts array<int>, places binary, share_of binary, words array<binary>")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
+    fields = "".join(f", `{c}` array<{kept.schema[c].dataType.simpleString()}>" for c in also)
+    return kept.mapInArrow(trimmed(split), f"chunk long, doc_ids array<long>, counts array<int>, places binary, share_of binary, words array<binary>{fields}")
 
 
 def encode_words(rows: DataFrame, path: str) -> DataFrame:
@@ -170,16 +178,17 @@ def piece_table(path: str) -> np.ndarray:
     return out
 
 
-def assemble(chunks: DataFrame, encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (binary, little-endian 32-bit), decoded."""
+def assemble(chunks: DataFrame, encoded: DataFrame, path: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids (binary, little-endian 32-bit), decoded, and the columns `also`."""
     pieces = chunks.sparkSession.sparkContext.broadcast(piece_table(path))
 
     def lay_out(chunk: pa.Table, rows: pa.Table) -> pa.Table:
         release()
         by_share = np.argsort(rows["share"].to_numpy())
         counts, ids = (np.concatenate([np.zeros(0, "<u4"), *(read(rows[c][int(i)].as_py()) for i in by_share)]) for c, read in (("counts", unpack), ("ids", unpack_ids)))
-        made = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.string())})]
-        for doc_ids, sizes, places, share_of in zip(*(chunk[c].to_pylist() for c in ("doc_ids", "counts", "places", "share_of"))):
+        types = [chunk[c].type.value_type for c in also]
+        made = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.string()), **{c: pa.array([], t) for c, t in zip(also, types)}})]
+        for doc_ids, sizes, places, share_of, *others in zip(*(chunk[c].to_pylist() for c in ("doc_ids", "counts", "places", "share_of", *also))):
             order = np.argsort(unpack(share_of), kind="stable")  # numbers in the order in which the shares list them
             per_word, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
             per_word[order], start[order] = counts, np.cumsum(counts, dtype=np.int64) - counts
@@ -194,20 +203,22 @@ def assemble(chunks: DataFrame, encoded: DataFrame, path: str) -> DataFrame:
                     shift = np.repeat(start[mine] - (np.cumsum(each) - each), each)
                     out_ids.append(ids[shift + np.arange(len(shift))].tobytes())
                     out_text.append(" ".join([t for t in map(texts.__getitem__, mine.tolist()) if t]))
-                made.append(pa.table({"doc_id": pa.array(doc_ids[low : low + 200], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())}))
+                more = {c: pa.array(x[low : low + 200], t) for c, x, t in zip(also, others, types)}
+                made.append(pa.table({"doc_id": pa.array(doc_ids[low : low + 200], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string()), **more}))
         return pa.concat_tables(made)
 
-    joined = chunks.select("chunk", "doc_ids", "counts", "places", "share_of").groupBy("chunk").cogroup(encoded.groupBy("chunk"))
-    return joined.applyInArrow(lay_out, "doc_id long, ids binary, decoded string")
+    fields = "".join(f", `{c}` {chunks.schema[c].dataType.elementType.simpleString()}" for c in also)
+    joined = chunks.select("chunk", "doc_ids", "counts", "places", "share_of", *also).groupBy("chunk").cogroup(encoded.groupBy("chunk"))
+    return joined.applyInArrow(lay_out, f"doc_id long, ids binary, decoded string{fields}")
 
 
-def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK) -> DataFrame:
-    """doc_id, ids, decoded of every document."""
+def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids, decoded of every document, and its columns `also`."""
     spark = docs.sparkSession
     shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    chunks = Scratch(spark, "bpe").keep(split_chunks(docs, shares, chunk_chars), "chunks")
+    chunks = Scratch(spark, "bpe").keep(split_chunks(docs, shares, chunk_chars, also), "chunks")
     rows = chunks.select("chunk", F.posexplode("words").alias("share", "words")).where("words is not null")
-    return assemble(chunks, encode_words(rows.repartition(shares, "share"), path), path)
+    return assemble(chunks, encode_words(rows.repartition(shares, "share"), path), path, also)
 
 
 def digest(encoded: DataFrame, *also: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as driver
 import corpus_pipeline
+from kestrion.llm import mixing
 from tests.llm.test_operators import DOCS
 
 
@@ -33,5 +34,27 @@ def test_stages_on_odd_rows(spark, data, k):
         assert out.count() <= docs.count() and (k == 4 or out.columns == docs.columns)
 
 
+def test_the_mix_reaches_the_last_rows(spark, data):
+    """Ordered by slot, the last stage's rows meet the target weights, which the sources' own shares are far from."""
+    block, blocks = mixing.BLOCK_CHARS, {"a": 40, "b": 8, "c": 8}
+    text = "some words of it " * (block // 4 // 17)
+    rows = [(i, text, "en", s, 0) for i, s in enumerate(s for s, n in blocks.items() for _ in range(4 * n))]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    last = corpus_pipeline.token_ids(spark, corpus_pipeline.mix(spark, docs, data), data)
+    source, found = {r[0]: r[3] for r in rows}, sorted((r.slot, r.doc_id, r.in_target, r.n_tokens) for r in last.collect())
+    expected = {r.doc_id: (r.slot, r.in_target) for r in mixing.schedule(docs).collect()}
+    assert {d: (slot, t) for slot, d, t, _ in found} == expected and len(found) == len(rows)
+    assert [t for *_, t, _ in found] == sorted((t for *_, t, _ in found), reverse=True)
+    total = sum(n**mixing.TEMPERATURE for n in blocks.values())
+    weight = {s: n**mixing.TEMPERATURE / total for s, n in blocks.items()}
+    slots = {s: {slot for slot, d, t, _ in found if t and source[d] == s} for s in blocks}
+    end = 1 + max(max(x, default=0) for x in slots.values())
+    assert end >= 8
+    for s in blocks:
+        assert all(sum(slot < now for slot in slots[s]) < weight[s] * now + 1.1 for now in range(1, end + 1)), s
+    first = [source[d] for _, d, t, _ in found if t]
+    assert all(abs(first.count(s) / len(first) - weight[s]) < 0.05 for s in blocks) and abs(weight["a"] - 40 / 56) > 0.1
+
+
 def test_queries_are_registered():
     assert {f"op{n}" for n in range(1, 11)} <= {name.partition("_")[0] for name in driver.queries()}
