@@ -2,14 +2,14 @@
 
 Two zstandard dictionaries are built, one from text labelled good, one from text labelled bad. A text is cut into
 pieces of `PIECE` bytes (so that the dictionaries matter up to its end, not only until its own content fills the
-window), each compressed with either; the normalised difference of the two summed sizes says which dictionary knows
-the text better. Text that repeats itself is short under both, so the size without a dictionary and the share that the
-good dictionary leaves are given to the calibration beside the difference: a logistic curve with products of these sizes,
-fitted on labelled texts that the dictionaries have not seen.
+window), each compressed with either. The difference of the two summed sizes, normalised by the text's length, says which
+dictionary knows the text better: good text is far shorter under the good one, junk under the bad one, and text that only repeats
+itself is short under both. That one value becomes the score through a logistic curve, fitted on labelled texts that the dictionaries have
+not seen.
 
-Learning uses a bounded sample: the `sample` labelled texts of each class that come first by a hash of the id, one half
-for dictionaries (a window of `WINDOW` characters of each), one half, read whole, for the calibration. Scoring reads every
-text whole, in one pass without a shuffle; what is broadcast is two dictionaries and a dozen weights.
+Learning uses a bounded sample: the `sample` labelled texts of each class that come first by a hash of the id, in two
+halves, one for dictionaries (a window of `WINDOW` characters of each), one, read whole, for the calibration. Scoring reads every
+text whole, in one pass without a shuffle; what is broadcast is two dictionaries and two numbers.
 
 Defined results: null is scored as the empty text. Without any labels every score is 0.5; with one class only, it is
 0 or 1 for that class. Repeated rows score alike; of a label given several times the least counts.
@@ -22,16 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kestrion.llm.common import sub_batches, trimmed
 from kestrion.llm.language_id import in_fold
 
-PIECE, WINDOW, DICTIONARY, LEVEL = 512, 4096, 16_384, 3
+PIECE, WINDOW, DICTIONARY, LEVEL = 256, 4096, 65_536, 3
 #: Labelled texts of each class and half.
 SAMPLE = 3000
 #: Ridge of the calibration.
-RIDGE = 1.0
+RIDGE = 0.01
 
 
 def build_dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -44,39 +44,30 @@ def build_dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
 
 
 class Sizes:
-    """Compressed sizes of texts under both dictionaries and under none."""
+    """Compressed sizes of texts under both dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
-        options = {"write_content_size": False, "write_dict_id": False, "write_checksum": False}
-
         def compressor(raw: bytes) -> zstandard.ZstdCompressor:
             d = zstandard.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(dict_data=d, **options)
+            return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)
 
-        self.good, self.bad, self.none = compressor(good), compressor(bad), zstandard.ZstdCompressor(level=LEVEL, **options)
+        self.good, self.bad = compressor(good), compressor(bad)
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
-        """(bad - good) / (bad + good); what the good dictionary and what no dictionary leave of the text; 1 / log length."""
-        good = bad = 0
-        for i in range(0, max(len(text), 1), PIECE):
-            piece = text[i : i + PIECE]
-            good += len(self.good.compress(piece))
-            bad += len(self.bad.compress(piece))
-        pieces = max(1, -(-len(text) // PIECE))
-        return (bad - good) / (bad + good), (good - 3 * pieces) / (len(text) + 1), len(self.none.compress(text)) / (len(text) + 12), 1 / np.log(len(text) + 3)
+    def difference(self, text: bytes) -> float:
+        """(bad - good) / length, 0 for the empty text."""
+        pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+        return sum(len(self.bad.compress(p)) - len(self.good.compress(p)) for p in pieces) / max(len(text), 1)
 
 
 class Calibration:
-    """Ridge logistic regression on sizes and their products."""
+    """A logistic curve of one value, by ridge regression."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
-        p = self.expand(x)
-        self.mean, self.std = p.mean(axis=0), p.std(axis=0) + 1e-9
+        self.mean, self.std = float(x.mean()), float(x.std()) + 1e-9
         z = self.design(x)
-        self.weights = np.zeros(z.shape[1])
-        ridge = np.full(z.shape[1], RIDGE)
-        ridge[-1] = 1e-6
+        self.weights = np.zeros(2)
+        ridge = np.array([RIDGE, 1e-6])
         for _ in range(60):
             s = self.sigmoid(z @ self.weights)
             step = np.linalg.solve((z * (weight * (s * (1 - s) + 1e-6))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (s - y)) + ridge * self.weights)
@@ -88,13 +79,8 @@ class Calibration:
     def sigmoid(v: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
 
-    @staticmethod
-    def expand(x: np.ndarray) -> np.ndarray:
-        n = x.shape[1]
-        return np.hstack([x, *(x[:, [i]] * x[:, [j]] for i in range(n) for j in range(i, n))])
-
     def design(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([np.clip((self.expand(x) - self.mean) / self.std, -20, 20), np.ones((len(x), 1))])
+        return np.column_stack([(x - self.mean) / self.std, np.ones(len(x))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.sigmoid(self.design(x) @ self.weights)
@@ -111,7 +97,7 @@ class Model:
             return np.full(len(texts), self.constant)
         if not hasattr(self, "sizes"):
             self.sizes = Sizes(self.good, self.bad)
-        return self.calibration.score(np.array([self.sizes.features(t) for t in texts]).reshape(len(texts), 4))
+        return self.calibration.score(np.array([self.sizes.difference(t) for t in texts], float))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "sizes"}
@@ -120,12 +106,18 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from (doc_id, text) and (doc_id, quality); the caller withholds what must not be learned from."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    order = F.xxhash64("doc_id")
     known = known.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
-    chosen = None
-    for quality in (0, 1):
-        for half in (0, 1):
-            part = known.where((F.col("quality") == quality) & (F.col("half") == half)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-            chosen = part if chosen is None else chosen.unionByName(part)
+    n = {(r.quality, r.half): r.n for r in known.groupBy("quality", "half").agg(F.count("*").alias("n")).collect()}
+    share = {q: n.get((q, 0), 0) + n.get((q, 1), 0) for q in (0, 1)}
+    if not n:
+        return Model(constant=0.5)
+    # about twice as many as are wanted pass a bar on the hash, however many partitions hold them; the first of these are taken
+    bar = F.lit(0)
+    for (quality, half), size in n.items():
+        bar = F.when((F.col("quality") == quality) & (F.col("half") == half), F.lit(int(min(1.0, 2 * sample / size) * (1 << 30)))).otherwise(bar)
+    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < bar)
+    chosen = some.withColumn("place", F.row_number().over(Window.partitionBy("quality", "half").orderBy(order, "doc_id"))).where(F.col("place") <= sample).drop("place")
     ids = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, quality int, half int")  # 4 x sample rows at most
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     spare = F.greatest(F.length("text") - WINDOW, F.lit(0))
@@ -134,22 +126,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for r in rows.where("half = 0").select("doc_id", "quality", F.col("text").substr(start, F.lit(WINDOW)).alias("t")).distinct().orderBy("doc_id").collect():
         texts[r.quality].append(r.t.encode())
     if not all(map(sum, ([len(t) for t in x] for x in texts.values()))):
-        counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-        return Model(constant=0.5 if not counts or len(counts) == 2 else float(next(iter(counts))))
+        return Model(constant=0.5 if all(share.values()) else float(share[1] > 0))
     good, bad = build_dictionary(texts[1]), build_dictionary(texts[0])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(good, bad)
         for part, found in sub_batches(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sizes.features(t.encode()) for t in found], pa.list_(pa.float64()))], names=["quality", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sizes.difference(t.encode()) for t in found], pa.float64())], names=["quality", "x"])
 
-    seen = rows.where("half = 1").select("quality", "text").mapInArrow(trimmed(measure), "quality int, x array<double>").collect()
+    seen = rows.where("half = 1").select("quality", "text").mapInArrow(trimmed(measure), "quality int, x double").collect()
     seen.sort(key=lambda r: (r.quality, r.x))
     y = np.array([float(r.quality) for r in seen])
     if len(set(y)) < 2:
         return Model(constant=0.5)
     # the sample may hold an equal number of each class; the labels' own shares are what the score is calibrated to
-    share = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     weight = np.array([share[int(q)] / (y == q).sum() for q in y])
     return Model(good, bad, Calibration(np.array([r.x for r in seen]), y, weight * len(y) / weight.sum()))
 

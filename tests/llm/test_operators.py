@@ -283,6 +283,23 @@ def test_quality_held_out_accuracy(spark, docs, labels):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found.values())
 
 
+def test_quality_score_is_the_difference_alone(spark, docs, labels):
+    """Every score is the calibrated difference of sizes that plain calls of the library give; held-out texts rank by it."""
+    model = quality_classifier.fit(docs, labels.where(~language_id.in_fold("doc_id", 3, 1)))
+    plain = [quality_classifier.zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=quality_classifier.zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    rows, score = docs.collect(), {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
+    difference = {}
+    for r in rows:
+        raw = (r.text or "").encode()
+        good, bad = (sum(len(c.compress(raw[i : i + quality_classifier.PIECE])) for i in range(0, len(raw), quality_classifier.PIECE)) for c in plain)
+        difference[r.doc_id] = (bad - good) / max(len(raw), 1)
+    by_score = sorted(difference, key=lambda i: (difference[i], score[i]))
+    assert all(score[a] <= score[b] + 1e-12 for a, b in zip(by_score, by_score[1:]))
+    held = [(difference[r.doc_id], r.quality) for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    good, bad = [x for x, q in held if q == 1], [x for x, q in held if q == 0]
+    assert sum(a > b for a in good for b in bad) >= 0.95 * len(good) * len(bad)
+
+
 def test_quality_odd(spark, odd, labels):
     found = quality_classifier.classify(odd, labels).collect()
     assert len(found) == odd.count()
