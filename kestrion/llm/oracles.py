@@ -89,4 +89,13 @@ blocked AS (SELECT host FROM distrust d LEFT JOIN trust t USING (host) WHERE d.r
 SELECT page_id, host, path, rule, coalesce(ruled_verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"""
 
 
-SQL = {"op1_minhash": OP1, "op7_quality_rules": OP7, "op8_embedding_dedup": OP8, "op9_url_filter": _op9()}
+#: For pages whose article is one <article> of paragraphs and headings, with the entities named here.
+OP10 = r"""WITH articles AS (SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(?:p|h1)>')) AS raw,
+         generate_subscripts(regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(?:p|h1)>'), 1) AS i FROM pages),
+plain AS (SELECT page_id, i, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(raw, '</?b>', '', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp', '&') AS t FROM articles),
+blocks AS (SELECT page_id, i, trim(regexp_replace(replace(t, '&;', '&'), '\s+', ' ', 'g')) AS t FROM plain),
+texts AS (SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM blocks WHERE t <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM pages LEFT JOIN texts USING (page_id)"""
+
+
+SQL = {"op1_minhash": OP1, "op7_quality_rules": OP7, "op8_embedding_dedup": OP8, "op9_url_filter": _op9(), "op10_html_extract": OP10}

@@ -525,6 +525,54 @@ def test_html_odd(html):
     assert isinstance(html_extract.main_text(html), str)
 
 
+LONG = f"<p>{'Some long enough paragraph of text that goes on and on. ' * 4}</p>"
+TEXT = ("Some long enough paragraph of text that goes on and on. " * 4).strip()
+
+
+@pytest.mark.parametrize(
+    "html, blocks",
+    [
+        (f'<div id="page" class="has-sidebar"><nav><a href=x>Menu</a></nav><article><h1>T</h1>{LONG}<p>short</p></article></div><footer>a footer of some length too</footer>', ["T", TEXT, "short"]),
+        (f'<div class="layout sidebar-right"><article><h1>T</h1>{LONG}</article></div>', ["T", TEXT]),
+        (f'<article><h1>T</h1>{LONG}<section class="social-science">{LONG}</section><div class="ad">BUY THIS NOW</div></article>', ["T", TEXT, TEXT]),
+        (f'<body><div class="site-header">Site</div><div id="content"><h1>Title</h1><div>{LONG}</div><div><p>short</p></div><div>{LONG}</div></div><div class="site-footer">Copyright and more</div><section class="comments">{LONG}</section></body>', ["Title", TEXT, "short", TEXT]),
+        (f'<form id="aspnetForm"><div class="cookie-notice">{"We use cookies. " * 9}</div><main><h1>T</h1>{LONG}</main></form>', ["T", TEXT]),
+        (f'<article><h1>T</h1>{LONG}<section id="comments"><article class="comment">{LONG}</article></section></article>', ["T", TEXT]),
+        (f'<article><h1>T</h1>{LONG}{LONG}</article><div class="related"><article><a href=z>Other story</a></article></div>', ["T", TEXT, TEXT]),
+        (f"<main><article><h1>T</h1>{LONG}</article><div>By a writer</div></main>", ["T", TEXT]),
+        ("<nav><a href=x>Home</a> words that are text</nav>", []),
+    ],
+)
+def test_html_regions(html, blocks):
+    assert html_extract.main_text(html) == "\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("change", [lambda v: np.ones(len(v)), lambda v: -v, lambda v: np.random.default_rng(len(v)).random(len(v))])
+def test_html_ratio_decides(data, monkeypatch, change):
+    import pyarrow.parquet as pq
+
+    pages = [h for h in pq.read_table(f"{data}/pages.parquet")["html"].to_pylist() if h]
+    before = [html_extract.main_text(h) for h in pages]
+    monkeypatch.setattr(html_extract, "smoothed", change)
+    assert sum(html_extract.main_text(h) == b for h, b in zip(pages, before)) <= 0.02 * len(pages)
+
+
+def test_html_smoothing():
+    v = np.array([0, 3.0, 0, 5, 1, 0, 0, 0, 2])
+    k = [np.exp(-((i - j) ** 2) / 2) if abs(i - j) <= 2 else 0 for i in range(9) for j in range(9)]
+    k = np.array(k).reshape(9, 9)
+    assert np.allclose(html_extract.smoothed(v), np.where(v > 0, k @ v / np.maximum(k @ (v > 0), 1e-9), 0))
+
+
+@pytest.mark.parametrize("head, tail", [("<div>", "</div>"), ("<b><span>", "</i>"), ("<article><p>a<b>", "</p></b>"), ("<li>", "</ul>")])
+def test_html_deep(head, tail):
+    import time
+
+    began = time.perf_counter()
+    assert "hello" in html_extract.main_text(head * 100_000 + "hello" + tail * 100_000)
+    assert time.perf_counter() - began < 60
+
+
 def test_html_empty_table(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     assert html_extract.extract(pages.limit(0)).count() == 0
