@@ -407,6 +407,50 @@ def test_embedding_links(spark, chunk):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+def test_embedding_planted_links(spark):
+    """Thousands of links in 64 dimensions, among them pairs at the border, between vectors that lie at random."""
+    r = np.random.default_rng(64)
+    base = r.standard_normal((900, 64))
+    rows = [base, *(b + r.standard_normal((n, 64)) * np.linalg.norm(b) / 8 * r.uniform(0.05, 0.36) for b, n in zip(base[:60], r.integers(5, 60, 60)))]
+    x = np.concatenate(rows)
+    vectors = [v.tolist() for v in x * r.uniform(0.1, 9, (len(x), 1))]
+    want = brute_vectors(vectors)
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").repartition(4)
+    for grid, chunk in ((2, 8192), (3, 100)):
+        found = embedding_dedup.near_duplicates(df, grid=grid, chunk=chunk).collect()
+        assert {v.vec_id: (v.n_links, v.component_id) for v in found} == want
+    assert sum(n for n, _ in want.values()) > 4000
+
+
+def test_embedding_doubles(spark):
+    """Doubles are compared as doubles: cosines a hair beside the border, and components beyond single precision."""
+    r = np.random.default_rng(3)
+    a = r.standard_normal(64)
+    a /= np.linalg.norm(a)
+    side = r.standard_normal(64)
+    side -= side @ a * a
+    side /= np.linalg.norm(side)
+    c = [0.95 + 3e-10, 0.95 - 3e-10]
+    vectors = [a, *(x * a + np.sqrt(1 - x * x) * side for x in c), a * 1e300, a * 1e-300]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    assert {v.vec_id: v.n_links for v in embedding_dedup.near_duplicates(df).collect()} == {0: 3, 1: 4, 2: 1, 3: 3, 4: 3}
+
+
+def test_trie_prunes_and_loses_nothing():
+    r = np.random.default_rng(9)
+    x = r.standard_normal((1500, 64))
+    x[700:720] = x[:20] + 0.02 * r.standard_normal((20, 64))
+    turned = embedding_dedup.unit(x) @ embedding_dedup.rotation(64)
+    left = 0
+    for s, radius in zip(embedding_dedup.splits(64, 4), embedding_dedup.radii(64, 4, 0.95)):
+        a, b = embedding_dedup.Trie(turned[:, s], radius / 2, 8).within(turned[:, s], radius)
+        left += (a < b).sum()
+        distance = ((turned[:, None, s] - turned[None, :, s]) ** 2).sum(axis=2)
+        near = np.argwhere(distance <= radius**2)
+        assert set(map(tuple, near.tolist())) <= set(zip(a.tolist(), b.tolist()))
+    assert left < 0.05 * 1500 * 1499 / 2
+
+
 def test_embedding_table(spark, data):
     df = spark.read.parquet(f"{data}/embeddings.parquet")
     rows = sorted(df.collect())
