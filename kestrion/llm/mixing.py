@@ -1,30 +1,37 @@
 """Mixing sources to target weights with Pfair scheduling.
 
-Each source's documents are dealt into blocks of about `block_chars` characters by a hash of the id. Source s with weight
-w runs its block j in the window from floor(j / w), its release, to ceil((j + 1) / w), its deadline; in every slot the
-released block with the earliest deadline runs. At every moment each source is then less than one block away from
-weight x time.
+Each source's documents lie in a line, ordered by a hash of the id, and block j holds those that begin in its j-th `block_chars` characters.
+Source s with weight w runs its block j in the window from floor(j / w), its release, to ceil((j + 1) / w), its deadline; in every slot the
+released block with the earliest deadline runs. At every moment each source is then less than one block away from weight x time, and so
+are its characters, but for what the last document reaches over its block. A document longer than a block leaves those that it reaches over
+without documents, so that later ones are not late.
+
+Where a document begins is a running sum of characters in three levels, so that no window sees more than a bounded part of a source: the
+hash cuts a source into runs of about `RUN_BLOCKS` blocks, runs into `RUNS` groups; groups, runs and documents are summed up each within the level above.
+Ids and lengths are what is shuffled for it, unless the caller keeps more columns.
 
 Weights are rounded to `frame`ths (each source at least one), which makes the schedule periodic: one frame is simulated
 on the driver (frame x log sources steps, whatever the input) and the slot of any block follows from its number. So all
-that is gathered is one row a source, all that is broadcast one row a slot of the frame, and documents are only
-annotated where they lie.
+that is gathered is one row a source, and all that is broadcast one row a slot of the frame.
 
 No document is lost or repeated: when a source runs out, its slots stay empty and the others' order goes on. `in_target`
 marks the slots before the first source ran out, up to which the weights hold.
 
 Weights: given by source (sources not named, or with weight 0, get no slot), or in proportion to characters to the power
 `temperature` (1: as they are; 0: all alike). Defined results: null is a source of its own; null text has no characters;
-the null id is hashed as such; repeated rows share a block. An empty table gives an empty schedule.
+documents without an id are hashed by their text; ties of the hash go by id, then length. An empty table gives an
+empty schedule. More than `MOST_SOURCES` sources are refused with an error.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK_CHARS, TEMPERATURE, FRAME = 64_000, 0.7, 1024
+#: Blocks to a run of documents, runs to a group of runs.
+RUN_BLOCKS, RUNS = 64, 4096
 #: Sources beyond which the per-source table is refused; it is gathered and broadcast.
 MOST_SOURCES = 65_536
 _NAME = "coalesce(concat('s', source), 'null')"
@@ -62,6 +69,27 @@ def edf_frame(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
 ADDED = ("block", "release", "deadline", "slot", "in_target")
 
 
+def lined_up(docs: DataFrame, per_source: DataFrame, block_chars: int) -> DataFrame:
+    """The rows, their columns by number (__c0, ...), with __name, the source's columns, and __at, the characters of the source before the row."""
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    facts = (F.expr(_NAME).alias("__name"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("__n"), F.pmod(hashed, F.lit(1 << 40)).alias("__h"), F.col("doc_id").alias("__id"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)), *facts).join(F.broadcast(per_source), "__name", "left")
+    # a run is an interval of hashes, so that runs in order hold the documents in order
+    rows = rows.withColumn("__run", F.floor(F.col("__h") / F.lit(1 << 40) * F.greatest(F.lit(1), F.ceil(F.col("__blocks") / RUN_BLOCKS))))
+    sums = rows.groupBy("__name", "__run").agg(F.sum("__n").alias("chars")).withColumn("group", F.floor(F.col("__run") / RUNS))
+    groups = sums.groupBy("__name", "group").agg(F.sum("chars").alias("chars"))
+
+    def before(column: str, order: str, *keys: str):
+        return F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = groups.select("__name", "group", before("chars", "group", "__name").alias("earlier"))
+    runs = sums.select("__name", "group", "__run", before("chars", "__run", "__name", "group").alias("inside")).join(groups, ["__name", "group"])
+    runs = runs.select("__name", "__run", (F.col("inside") + F.col("earlier")).alias("__start"))
+    order = Window.partitionBy("__name", "__run").orderBy("__h", "__id", "__n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum("__n").over(order), F.lit(0)))
+    return rows.join(runs, ["__name", "__run"]).withColumn("__at", F.col("__start") + F.col("__in"))
+
+
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_chars: int = BLOCK_CHARS, frame: int = FRAME) -> DataFrame:
     """The documents with block, release, deadline, slot (null where the source has no weight) and in_target.
 
@@ -85,13 +113,11 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, te
     first_gap = min((blocks[n] // c * frame + at[n, blocks[n] % c] for n, c in slots.items()), default=0)
     per_source = spark.createDataFrame([(n, b, slots.get(n)) for n, b in sorted(blocks.items())], "__name string, __blocks long, __slots int")
     per_slot = spark.createDataFrame(table, "__name string, __k int, __slot int, __release int, __deadline int")
-    boxed = docs.select(F.struct(*docs.columns).alias("__doc"), F.expr(_NAME).alias("__name"))
-    out = boxed.join(F.broadcast(per_source), "__name", "left")
-    out = out.withColumn("block", F.pmod(F.xxhash64("__doc.doc_id"), "__blocks")).withColumn("__k", F.pmod("block", "__slots").cast("int"))
+    out = lined_up(docs, per_source, block_chars).withColumn("block", F.floor(F.col("__at") / block_chars)).withColumn("__k", F.pmod("block", "__slots").cast("int"))
     out = out.join(F.broadcast(per_slot), ["__name", "__k"], "left")
     base = F.floor(F.col("block") / F.col("__slots")) * frame
     return out.select(
-        *(F.col(f"__doc.`{c}`") for c in docs.columns if c not in ADDED),
+        *(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ADDED),
         "block",
         *((base + F.col(f"__{x}")).cast("long").alias(x) for x in ("release", "deadline", "slot")),
         F.coalesce(base + F.col("__slot") < first_gap, F.lit(False)).alias("in_target"),

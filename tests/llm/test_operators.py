@@ -229,6 +229,38 @@ def test_frame_keeps_every_prefix_within_a_block(seed):
         assert all(abs(done[s] - c * (slot + 1) / 256) < 1 for s, c in slots.items())
 
 
+@pytest.mark.parametrize("block_chars, run_blocks, runs", [(500, 64, 4096), (3000, 2, 3), (64_000, 1, 2)])
+def test_mixed_documents_keep_the_weights(spark, docs, monkeypatch, block_chars, run_blocks, runs):
+    """In every prefix of slots each source's characters are within a block and the documents reaching over it of weight x time."""
+    monkeypatch.setattr(mixing, "RUN_BLOCKS", run_blocks)
+    monkeypatch.setattr(mixing, "RUNS", runs)
+    rows = mixing.schedule(docs, block_chars=block_chars).collect()
+    total = Counter()
+    for r in rows:
+        total[r.source] += len(r.text or "")
+    slots = mixing.shares({f"s{k}": max(n, 1) ** mixing.TEMPERATURE for k, n in total.items()}, mixing.FRAME)
+    by_source: dict = {}
+    for r in rows:
+        by_source.setdefault(r.source, {}).setdefault(r.block, []).append(len(r.text or ""))
+    for source, blocks in by_source.items():
+        longest, done = max(max(x) for x in blocks.values()), 0
+        for j in range(max(blocks) + 1):  # a block starts where it should, but for the last document before it
+            assert j * block_chars <= done < j * block_chars + longest + block_chars or j not in blocks
+            done += sum(blocks.get(j, []))
+        assert sum(map(sum, blocks.values())) == total[source]
+    end = 1 + max(r.slot for r in rows if r.in_target)
+    done = Counter()
+    at: dict = {}
+    for r in rows:
+        at.setdefault(r.slot, []).append(r)
+    for slot in range(end):
+        for r in at.get(slot, []):
+            done[r.source] += len(r.text or "")
+        for source in total:
+            longest = max(map(max, by_source[source].values()))
+            assert abs(done[source] - slots[f"s{source}"] / mixing.FRAME * (slot + 1) * block_chars) < block_chars + longest
+
+
 def test_schedule(spark, docs):
     found = mixing.schedule(docs, block_chars=500).collect()
     assert len(found) == docs.count() and all(r.release <= r.slot < r.deadline for r in found)
