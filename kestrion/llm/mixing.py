@@ -29,6 +29,8 @@ import heapq
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from kestrion.sources.scratch import Scratch
+
 BLOCK_CHARS, TEMPERATURE, FRAME = 64_000, 0.7, 1024
 #: Blocks to a run of documents, runs to a group of runs.
 RUN_BLOCKS, RUNS = 64, 4096
@@ -77,6 +79,7 @@ def lined_up(docs: DataFrame, per_source: DataFrame, block_chars: int) -> DataFr
     # a run is an interval of hashes, so that runs in order hold the documents in order
     rows = rows.withColumn("__run", F.floor(F.col("__h") / F.lit(1 << 40) * F.greatest(F.lit(1), F.ceil(F.col("__blocks") / RUN_BLOCKS))))
     sums = rows.groupBy("__name", "__run").agg(F.sum("__n").alias("chars")).withColumn("group", F.floor(F.col("__run") / RUNS))
+    sums = Scratch(docs.sparkSession, "mixing").keep(sums, "runs")
     groups = sums.groupBy("__name", "group").agg(F.sum("chars").alias("chars"))
 
     def before(column: str, order: str, *keys: str):

@@ -177,7 +177,7 @@ def test_token_counts_round_trip(spark, docs):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoding = token_counts._encoding(path, pattern)
     found = token_counts.count(docs, path, pattern, 50256).collect()
-    assert Counter(r.n_tokens for r in found) == Counter(len(encoding.encode_ordinary(r.text)) for r in docs.collect())
+    assert {r.doc_id: r.n_tokens for r in found} == {r.doc_id: len(encoding.encode_ordinary(r.text)) for r in docs.collect()} and len(found) == docs.count()
     by_file: dict = {}
     for r in sorted(found, key=lambda r: (r.file, r.doc_no)):
         assert r.doc_no == len(by_file.setdefault(r.file, [])) and r.terminated
@@ -197,8 +197,33 @@ def test_token_scan_blocks(spark, tmp_path, block):
         if len(tokens) and tokens[-1] != 3:
             ends.append(len(tokens))
         want += [(name, i, int(a) + 1, int(b - a) - 1, bool(b < len(tokens))) for i, (a, b) in enumerate(zip([-1, *ends], ends))]
-    found = token_counts.scan(spark, str(tmp_path), 3, block, run=3).collect()
-    assert sorted((x.file.rpartition("/")[2], x.doc_no, x.first_token, x.n_tokens, x.terminated) for x in found) == sorted(want)
+    for whole, range_bytes in ((1 << 30, 1), (6, 8), (1, 1000)):  # all files whole, long ones in ranges, all in ranges
+        found = token_counts.scan(spark, str(tmp_path), 3, block, run=3, whole=whole, range_bytes=range_bytes).collect()
+        assert sorted((x.file.rpartition("/")[2], x.doc_no, x.first_token, x.n_tokens, x.terminated) for x in found) == sorted(want)
+
+
+def test_token_counts_of_rolled_files(spark, docs, data):
+    import public_tokenizers
+
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    want = {r.doc_id: r.n_tokens for r in token_counts.count(table, *args).collect()}
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+    try:
+        found = token_counts.count(table, *args, width=4, whole=4000).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert {r.doc_id: r.n_tokens for r in found} == want and len({(r.file, r.doc_no) for r in found}) == len(found) == len(want)
+    assert len({r.file for r in found}) >= len(want) / 7
+
+
+def test_token_widths(docs, tmp_path):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    for end, width in ((70_000, 2), (5, 2), (50256, 3)):
+        with pytest.raises(ValueError):
+            token_counts.write_flat(docs, str(tmp_path / "x"), path, pattern, end, width)
 
 
 def test_token_counts_odd(spark, odd, tmp_path):
