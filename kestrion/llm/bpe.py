@@ -3,8 +3,8 @@
 1. Texts are split into words (the tokenizer's own pre-tokens, lower-cased). Runs of whole texts of about `CHUNK`
    characters become chunks; a chunk holds each distinct word once, and its texts as numbers into that list.
 2. The table of distinct words is dealt over tasks by a hash of the word; a chunk sends each share its words as one
-   compressed row. So all chunks' copies of a word meet in one task, which encodes the word once. A word is at most one
-   entry a chunk, however often it occurs, so no word is hot.
+   compressed row. So all chunks' copies of a word meet in one task, which encodes the word once (of more than `REMEMBERED` words,
+   once each time it has to forget). A word is at most one entry a chunk, however often it occurs, so no word is hot, and rows grow with the chunks alone.
 3. Ids come back to their chunk by place and are laid out in the order of the texts. Decoding looks every id up in the
    id-to-piece table, a broadcast whose size the vocabulary fixes, and joins the pieces.
 
@@ -32,6 +32,10 @@ from kestrion.llm.common import release, sub_batches, trimmed
 from kestrion.sources.scratch import Scratch
 
 CHUNK = 6_500_000
+#: Shares of the table of distinct words, whatever the session's partitions: a chunk sends one row to each. More of them suit larger vocabularies.
+SHARES = 64
+#: Distinct words that a task remembers; beyond, it forgets them and encodes those that come again once more.
+REMEMBERED = 1_000_000
 #: The fixed pattern by which the tokenizer splits; `_` and digits beyond \\d are told apart below.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+")
 #: Texts of these characters only are split by _SPLIT just as by the tokenizer; others word by word by the library itself.
@@ -158,6 +162,8 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
             out: list[tuple[bytes, bytes]] = []
             for blob in batch.column(2):
                 words = zstandard.decompress(blob.as_py()).decode().split("\n")
+                if len(known) > REMEMBERED:
+                    known.clear()
                 new = [w for w in words if w not in known]
                 for low in range(0, len(new), 5000):
                     part = new[low : low + 5000]
@@ -212,13 +218,12 @@ def assemble(chunks: DataFrame, encoded: DataFrame, path: str, also: tuple[str,
     return joined.applyInArrow(lay_out, f"doc_id long, ids binary, decoded string{fields}")
 
 
-def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK, also: tuple[str, ...] = ()) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK, also: tuple[str, ...] = (), shares: int = SHARES) -> DataFrame:
     """doc_id, ids, decoded of every document, and its columns `also`."""
     spark = docs.sparkSession
-    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     chunks = Scratch(spark, "bpe").keep(split_chunks(docs, shares, chunk_chars, also), "chunks")
     rows = chunks.select("chunk", F.posexplode("words").alias("share", "words")).where("words is not null")
-    return assemble(chunks, encode_words(rows.repartition(shares, "share"), path), path, also)
+    return assemble(chunks, encode_words(rows.repartition(min(shares, int(spark.conf.get("spark.sql.shuffle.partitions"))), "share"), path), path, also)
 
 
 def digest(encoded: DataFrame, *also: str) -> DataFrame:

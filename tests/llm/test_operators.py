@@ -392,6 +392,15 @@ def test_bpe_equals_the_library(spark, docs, odd):
     assert digests(bpe.encode_decode(odd.where("doc_id in (1, 2)"), path)) == brute_bpe([None, ""])
 
 
+def test_bpe_forgets_words_and_deals_any_shares(spark, docs, monkeypatch):
+    path = entry.tokenizer_path()
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    few = docs.limit(40)
+    want = brute_bpe([r.text for r in few.collect()])
+    for shares in (1, 3, 200):
+        assert digests(bpe.encode_decode(few, path, chunk_chars=5_000, shares=shares)) == want
+
+
 def test_bpe_packing():
     r = np.random.default_rng(6)
     for numbers in ([], [0], [127, 128, 16383, 16384, 2**32 - 1], r.integers(0, 2**21, 1000), r.integers(0, 100, 50)):
