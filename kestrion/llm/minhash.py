@@ -20,10 +20,13 @@ the joins; what is left is verified exactly on sets of shingles.
 At the default (80 coordinates, 20 bands of 4) a pair of similarity 0.8 is missed with a probability of 6 in 100,000, half of it by
 the bands and half by the signatures.
 
-Weights: 1 for each distinct shingle (`binary`, the default, plain Jaccard) or its number of occurrences (`count`).
+Weights: 1 for each distinct shingle (`binary`, the default, plain Jaccard) or its number of occurrences (`count`). The axis of weights is cut at its doublings,
+each interval a region of its own, so that a weight costs its logarithm; `dart_signatures` takes any weights, measured against a power of two.
+
 Defined results: words are what white space separates, lower-cased; a text of fewer than `words` words is one shingle. Null text is alone in its class; so is,
-but for exact copies, a text without words. Rows with null ids are left out of all groups (class null, kept). Of equal ids with different texts the
-first class counts; repeated rows are copies. The least doc_id of a component is kept.
+but for exact copies, a text without words. Rows with null ids are left out of all groups (class null, kept). An id at several texts is told
+apart by text: each of them has its own class, and rows fall or stay by their text. Repeated rows are copies; one stays. The least doc_id of a component is kept
+(of rows that share it the one of the least hash).
 """
 
 from __future__ import annotations
@@ -53,13 +56,17 @@ def shingles(text: str, words: int, hashes: WordHash) -> np.ndarray:
     return rolling(h, words) if len(h) > words else rolling(np.concatenate([h, np.zeros(words - len(h), np.uint64)]), words)
 
 
-def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
-    """One row of k coordinates for each of n documents from (element, weight, document number); EMPTY rows for those without."""
+def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int, base: int = 0) -> np.ndarray:
+    """One row of k coordinates for each of n documents from (element, weight, document number); EMPTY rows for those without.
+
+    Weights are measured against 2^base, the same for all documents that are compared: greater ones cost their logarithm, much
+    smaller ones cost darts that miss.
+    """
     out = np.full((n, k), EMPTY, np.uint64)
     total = np.bincount(owner, weights, n)
     reach = np.where(total > 0, k * (np.log(k) + 2) / np.maximum(total, 1e-300), 0.0)
-    # regions wider than 1 are thrown at column by column
-    columns = np.ceil(weights).astype(np.int64)
+    # the axis of weights is cut at 2^base and its doublings, each interval a region with darts of its own
+    columns = 1 + np.maximum(np.ceil(np.log2(np.maximum(weights, 1e-300))) - base, 0).astype(np.int64)
     if (columns > 1).any():
         at = np.repeat(np.arange(len(elements)), columns)
         column = np.arange(len(at)) - np.repeat(np.cumsum(columns) - columns, columns)
@@ -67,27 +74,29 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray
         at, column = np.arange(len(elements)), np.zeros(len(elements), np.int64)
     with np.errstate(over="ignore"):
         seed = mix64(elements[at] ^ (column.astype(np.uint64) << np.uint64(1)), 11) if column.any() else mix64(elements, 11)
-    width, doc = weights[at] - column, owner[at]
+    breadth = np.exp2(base + np.maximum(column - 1, 0))
+    width, doc = (weights[at] - np.where(column > 0, breadth, 0)) / breadth, owner[at]
     while len(seed):
-        s, d, w, rank, high = seed, doc, width, np.zeros(len(seed)), reach[doc]
+        one = (breadth == 1).all()
+        s, d, w, rank, high, wide = seed, doc, width, np.zeros(len(seed)), reach[doc] * breadth, breadth  # ranks by the region's own breadth
         darts = 0
         while len(s):
             s = mix64(s, darts & 0xFF)
             darts += 1
             rank = rank - np.log(((s >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53))
             there = rank < high
-            s, d, w, rank, high = s[there], d[there], w[there], rank[there], high[there]
+            s, d, w, rank, high, wide = s[there], d[there], w[there], rank[there], high[there], wide if one else wide[there]
             if not len(s):
                 break
             dart = mix64(s, 301)
             inside = slice(None) if (w >= 1).all() else (mix64(s, 302) >> np.uint64(11)).astype(np.float64) / (1 << 53) < w
-            packed = (rank[inside].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (dart[inside] & np.uint64(0xFFFFFFFF))
+            packed = ((rank if one else rank / wide)[inside].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (dart[inside] & np.uint64(0xFFFFFFFF))
             slot = (dart[inside] >> np.uint64(32)) % np.uint64(k)
             np.minimum.at(out.reshape(-1), d[inside] * k + slot.astype(np.int64), packed)
         short = (out == EMPTY).any(axis=1) & (total > 0)
         reach = np.where(short, reach * 2, 0)
         again = short[doc]
-        seed, doc, width = seed[again], doc[again], width[again]
+        seed, doc, width, breadth = seed[again], doc[again], width[again], breadth[again]
     return out
 
 
@@ -271,26 +280,65 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, scratch: Scrat
     return reduce(DataFrame.unionByName, found).select("a", "b")
 
 
-def groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "binary") -> DataFrame:
-    """doc_id, class_id (least id of the exact text), component_id (least id of the near-duplicates), kept."""
-    scratch = Scratch(docs.sparkSession, "minhash")
+def clashes(signed: DataFrame) -> DataFrame:
+    """doc_id of the ids that stand at different texts."""
+    sides = signed.groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count("text_key").alias("texts"), F.count("*").alias("n"))
+    return sides.where((F.col("a") != F.col("b")) | ((F.col("texts") > 0) & (F.col("texts") < F.col("n")))).select("doc_id")
+
+
+def with_uid(docs: DataFrame, clash: DataFrame | None, name: str) -> DataFrame:
+    """The rows with an id of each (doc_id, text): the doc_id itself, or where it stands at several texts a hash of both."""
+    if clash is None:
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    several = clash.select(F.col("doc_id").alias("__clash"))
+    own = F.xxhash64("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")), F.col("text").isNull().cast("int")).bitwiseOR(F.lit(-(1 << 63)).cast("long"))
+    met = docs.join(several, F.col("doc_id").cast("long") == F.col("__clash"), "left")
+    return met.select(*docs.columns, F.when(F.col("__clash").isNotNull(), own).otherwise(F.col("doc_id").cast("long")).alias(name))
+
+
+def _grouped(docs: DataFrame, scratch: Scratch, words: int, threshold: float, bands: int, rows: int, weighting: str) -> tuple[DataFrame, DataFrame | None]:
+    """uid, doc_id, class_id, component_id, kept of the rows with an id; and the ids that stand at different texts, or None."""
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.keep(sign(docs, words, bands, rows, weighting), "signed")
+    clash = scratch.keep(clashes(signed), "clashes")
+    if clash.isEmpty():
+        clash, names = None, None
+    else:
+        named = with_uid(docs, clash, "uid").select(F.col("uid").alias("doc_id"), F.col("doc_id").alias("own"), "text")
+        names = scratch.keep(named.select("doc_id", "own").distinct(), "names")
+        docs = named.drop("own")
+        signed = scratch.keep(sign(docs, words, bands, rows, weighting), "signed")
     classes = scratch.keep(classes_of(signed), "classes")
     joined = scratch.keep(components(links(docs, signed, classes, scratch, words, threshold, bands * rows), scratch), "components")
     out = signed.select("doc_id", "text_key").join(classes, "text_key", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
-    out = out.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    unkeyed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(unkeyed)
+    out = out.select(F.col("doc_id").alias("uid"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    if clash is None:
+        return out.select("uid", F.col("uid").alias("doc_id"), "class_id", "component_id", (F.col("uid") == F.col("component_id")).alias("kept")), None
+    out = scratch.keep(out.join(names.select(F.col("doc_id").alias("uid"), "own"), "uid"), "named")
+    class_ids = out.groupBy("class_id").agg(F.min("own").alias("class_own"))
+    component_ids = out.groupBy("component_id").agg(F.min("own").alias("component_own"), F.min(F.struct("own", "uid")).alias("first"))
+    out = out.join(class_ids, "class_id").join(component_ids, "component_id")
+    return out.select("uid", F.col("own").alias("doc_id"), F.col("class_own").alias("class_id"), F.col("component_own").alias("component_id"), (F.col("uid") == F.col("first.uid")).alias("kept")), clash
+
+
+def groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "binary") -> DataFrame:
+    """doc_id, class_id (least id of the exact text), component_id (least id of the near-duplicates), kept."""
+    out, _ = _grouped(docs, Scratch(docs.sparkSession, "minhash"), words, threshold, bands, rows, weighting)
+    none = F.lit(None).cast("long")
+    unkeyed = docs.where("doc_id is null").select(none.alias("doc_id"), none.alias("class_id"), none.alias("component_id"), F.lit(True).alias("kept"))
+    return out.drop("uid").unionByName(unkeyed)
 
 
-def dedup(docs: DataFrame, **how) -> DataFrame:
+def dedup(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "binary") -> DataFrame:
     """The documents that stay: one row of each group; rows with null ids stay."""
-    found = Scratch(docs.sparkSession, "dedup").keep(groups(docs, **how).where("doc_id is not null").select("doc_id", "kept"), "kept")
-    gone = found.where("not kept").select("doc_id").distinct()
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "dedup")
+    found, clash = _grouped(docs, scratch, words, threshold, bands, rows, weighting)
+    found = scratch.keep(found.select("uid", "kept"), "kept")
+    gone = found.where("not kept").select(F.col("uid").alias("__uid")).distinct()
+    repeated = found.where("kept").groupBy("uid").count().where("count > 1").select(F.col("uid").alias("__uid"))
+    out = with_uid(docs, clash, "__uid").join(gone, "__uid", "left_anti")
     if repeated.isEmpty():
-        return out
-    once = out.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return out.select(*docs.columns)
+    once = out.join(repeated, "__uid", "left_semi").dropDuplicates(["__uid"])
+    return out.join(repeated, "__uid", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

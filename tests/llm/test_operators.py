@@ -109,6 +109,29 @@ def test_minhash_joins_adjoining_families(spark):
     assert len(set(expected)) == 8 and found == dict(enumerate(expected))
 
 
+@pytest.mark.parametrize("small", [2, 16, 100_000])
+def test_minhash_bridges_at_any_size(spark, small):
+    """Families that one pair joins: no size of group that is compared at once may lose it."""
+    texts = [t for seed in range(20, 26) for t in adjoining(seed, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    scratch = minhash.Scratch(spark, "bridges")
+    signed = scratch.keep(minhash.sign(docs), "signed")
+    pairs = minhash.links(docs, signed, scratch.keep(minhash.classes_of(signed), "classes"), scratch, small=small)
+    parts = {r.node: r.component for r in minhash.components(pairs, scratch).collect()}
+    expected = brute_groups(texts)
+    assert len(set(expected)) == 6 and {i: parts.get(i, i) for i in range(len(texts))} == dict(enumerate(expected))
+
+
+def test_minhash_ids_at_several_texts(spark):
+    """Rows go by their text where an id stands at several."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, a), (4, c), (4, None), (4, c), (5, None), (2, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.groups(df).collect()
+    assert len(found) == len(rows) and {r.component_id for r in found if r.doc_id == 3} == {1}
+    assert Counter((r.doc_id, r.text) for r in minhash.dedup(df).collect()) == Counter([(1, a), (1, b), (4, c), (4, None), (5, None)])
+
+
 def test_minhash_on_documents(spark, docs):
     rows = sorted(docs.select("doc_id", "text").collect())
     found = {r.doc_id: r.component_id for r in minhash.groups(docs).collect()}
@@ -129,6 +152,23 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert (sig != minhash.EMPTY).all() and abs((sig[0] == sig[1]).mean() - truth) < 0.03
 
 
+@pytest.mark.parametrize("scale, base", [(1e-3, -12), (1e-3, -8), (1.0, 0), (1e3, 0), (1e3, 8)])
+def test_darts_at_any_scale(scale, base):
+    import time
+
+    r = np.random.default_rng(7)
+    elements = r.integers(0, 2**63, 80).astype(np.uint64)
+    a, b = scale * r.uniform(0.1, 3, 80), scale * r.uniform(0.1, 3, 80)
+    a[:8], b[72:] = 0, 0
+    both = np.concatenate([elements[a > 0], elements[b > 0]])
+    owner = np.repeat([0, 1], [(a > 0).sum(), (b > 0).sum()])
+    began = time.perf_counter()
+    sig = minhash.dart_signatures(both, np.concatenate([a[a > 0], b[b > 0]]), owner, 2, 4000, base)
+    assert time.perf_counter() - began < 20
+    truth = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert (sig != minhash.EMPTY).all() and abs((sig[0] == sig[1]).mean() - truth) < 0.03
+
+
 def test_minhash_counts_as_weights():
     h = WordHash()
     text = "a b c d e f g h " + "x y z w v " * 50
