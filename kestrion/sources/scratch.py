@@ -35,10 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 _USED: dict[str, list[str]] = {}
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes all that this application's operators have kept; their results must have been written or read by then."""
-    for base in _USED.pop(spark.sparkContext.applicationId, []):
-        Scratch.delete(spark, base)
+def used(spark: SparkSession) -> list[str]:
+    """The folders in which this application's operators have kept tables so far."""
+    return list(_USED.get(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, but: list[str] | tuple[str, ...] = ()) -> None:
+    """Deletes all that this application's operators have kept, but for some folders; their results must have been written or read by then."""
+    app = spark.sparkContext.applicationId
+    for base in _USED.get(app, []):
+        if base not in but:
+            Scratch.delete(spark, base)
+    _USED[app] = [base for base in _USED.get(app, []) if base in but]
 
 
 class Scratch:
