@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as driver
 import corpus_pipeline
 from kestrion.llm import mixing
+from kestrion.sources.scratch import used
 from tests.llm.test_operators import DOCS
 
 
@@ -56,5 +57,23 @@ def test_the_mix_reaches_the_last_rows(spark, data):
     assert all(abs(first.count(s) / len(first) - weight[s]) < 0.05 for s in blocks) and abs(weight["a"] - 40 / 56) > 0.1
 
 
+def test_language_stage_drops_unlearned_languages_only(spark, data):
+    """Texts in scripts that no profile has seen go; clean texts in learned languages stay, short ones too."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    strange = ["Καλημέρα κόσμε πώς είσαι σήμερα το πρωί", "Съешь же ещё этих мягких французских булок", "天地玄黃 宇宙洪荒 日月盈昃", "zq xj vk wqx jzq qxv kzj xwq zvq jxk"]
+    more = spark.createDataFrame([(10**9 + i, t, None, "x", len(t)) for i, t in enumerate(strange)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), data).collect()}
+    clean = [r.doc_id for r in docs.collect() if r.lang and len((r.text or "").split()) >= 5]
+    assert not any(10**9 + i in kept for i in range(len(strange)))
+    assert sum(i in kept for i in clean) >= 0.995 * len(clean)
+
+
+def test_run_leaves_only_its_last_tables(spark, data):
+    before = set(used(spark))
+    corpus_pipeline.run(spark, data)
+    left = [b.rpartition("/")[2].rpartition("-")[0] for b in used(spark) if b not in before]
+    assert left.count("pipeline") == 1 and "minhash" not in left and "dedup" not in left
+
+
 def test_queries_are_registered():
     assert {f"op{n}" for n in range(1, 11)} <= {name.partition("_")[0] for name in driver.queries()}
