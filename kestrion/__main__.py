@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "retrieve" and args.prompt is None:
         prompts = prompts.select("query_id", F.from_json("prompt", "prompt string")["prompt"].alias("prompt"))
     overrides = spark.createDataFrame([(0, *(getattr(args, x) for x in LISTS))], "query_id long, " + ", ".join(f"{x} array<string>" for x in LISTS)) if args.command == "diagnose" else None
-    hits, outcomes = retrieve.retrieve(prompts, store.searchable(), store.table("projects"), embedder, settings, client_of(config.router), overrides)
+    hits, outcomes = retrieve.retrieve(prompts, store.searchable(), store.table("projects"), embedder, settings, client_of(config.router), overrides, store.index())
     if args.command == "diagnose":
         for h in hits.orderBy("place").limit(args.top).collect():
             print(f"{h.place:3} final {h.final:.4f} bm25 {h.bm25:.4f} ({h.bm25_norm:.4f}) cosine {h.cosine:.4f} tokens {h.token_est} sum {h.cumulative_tokens} {h.label} [{h.doc_type}]")

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 # The algorithm's suffix tables.
 STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
 STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+LONGEST = 64
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
@@ -47,11 +48,20 @@ def longest(word: str, suffixes) -> str | None:
 
 @lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
-    """The stem of a lower-case word; words of one or two letters stay."""
-    if len(word) < 3:
+    """The stem of a lower-case word; words of one or two bytes stay, and so do those of more than 64.
+
+    Letters beyond ASCII count as consonants, one for each of their bytes in UTF-8, as in SQLite's full-text search.
+    """
+    raw = word if word.isascii() else word.encode().decode("latin-1")
+    if not 3 <= len(raw) <= LONGEST:
         return word
+    out = stem_bytes(raw)
+    return out if raw is word else out.encode("latin-1").decode(errors="replace")
+
+
+def stem_bytes(word: str) -> str:
     for suffix, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(suffix):
+        if word.endswith(suffix) and len(word) > len(suffix):
             word = word[: -len(suffix)] + new
             break
     if word.endswith("eed"):
@@ -85,7 +95,7 @@ def stem(word: str) -> str:
 
 @F.pandas_udf(StringType())
 def stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: stem(w) if w.isascii() else w)
+    return words.map(stem)
 
 
 def stem_table(terms: DataFrame) -> DataFrame:

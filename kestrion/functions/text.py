@@ -8,7 +8,9 @@ from functools import lru_cache
 from pyspark.sql import Column, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TOKEN = r"[\p{L}\p{N}]+"
+#: White space as Unicode has it (fixed values).
+WHITE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 @lru_cache(maxsize=1)
@@ -23,13 +25,13 @@ def accents() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), *accents())
+    """Lower case without diacritics; plain ASCII has none."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(F.lower(text), *accents()))
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits of the folded text."""
-    return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(fold(text), BETWEEN), "")
 
 
 def token_estimate(text: Column) -> Column:
@@ -48,8 +50,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def label_value(text: Column) -> Column:
-    """Trimmed and in ASCII lower case: how enumerated labels are compared."""
-    return ascii_lower(F.trim(text))
+    """Trimmed of all white space and in ASCII lower case: how enumerated labels are compared."""
+    return ascii_lower(F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", ""))
 
 
 def cut(text: Column, most: int) -> Column:

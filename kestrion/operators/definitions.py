@@ -33,12 +33,17 @@ def split_lines(source: str) -> list[str]:
 
 
 def disambiguate(chunks: list[Chunk]) -> list[Chunk]:
-    """The second, third, … chunk of a label gets #2, #3, … ."""
-    seen: Counter = Counter()
+    """The second, third, … chunk of a label gets #2, #3, …; numbers that would meet another chunk's own label are passed over."""
+    taken, seen = {label for label, _ in chunks}, Counter()
     out = []
     for label, content in chunks:
         seen[label] += 1
-        out.append((label if seen[label] == 1 else f"{label}#{seen[label]}", content))
+        name = label
+        if seen[label] > 1:
+            while (name := f"{label}#{seen[label]}") in taken:
+                seen[label] += 1
+            taken.add(name)
+        out.append((name, content))
     return out
 
 

@@ -33,9 +33,18 @@ def changed(walked: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def disambiguate(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Labels made unique within keys: the nth of a label gets #n from the second on."""
+    """Labels made unique within keys: the nth of a label gets #n from the second on; numbers that would meet another row's own label are passed over."""
     nth = F.row_number().over(Window.partitionBy(*keys, "label").orderBy(order))
-    return rows.withColumn("__n", nth).withColumn("label", F.when(F.col("__n") == 1, F.col("label")).otherwise(F.concat("label", F.lit("#"), "__n"))).drop("__n")
+    # labels of the form <label>#<n> beside <label>: a group that holds any is numbered as in one pass over its distinct labels
+    rows = rows.withColumn("__n", nth)
+    base, number = F.regexp_extract("label", r"^(.*)#\d+$", 1), F.regexp_extract("label", r"#(0|[1-9]\d{0,8})$", 1)
+    own = rows.where("__n = 1").select(*keys, base.alias("label"), number.alias("__own")).where("__own <> ''")
+    own = own.groupBy(*keys, "label").agg(F.sort_array(F.collect_set(F.col("__own").cast("int"))).alias("__taken"))
+    rows = rows.join(own, [*keys, "label"], "left")
+    # the nth free number: each taken one at or below it moves it up
+    moved = F.aggregate(F.coalesce("__taken", F.array().cast("array<int>")), F.col("__n"), lambda n, t: F.when((t >= 2) & (t <= n), n + 1).otherwise(n))
+    label = F.when(F.col("__n") == 1, F.col("label")).otherwise(F.concat("label", F.lit("#"), moved))
+    return rows.withColumn("label", label).drop("__n", "__taken")
 
 
 def split(files: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def plan_prompts(prompts: DataFrame, projects: DataFrame, client: models.ChatCli
     return plans.join(empty, "query_id", "left").withColumn("status", F.when(F.col("__empty"), "skip").otherwise(F.col("status"))).drop("__empty")
 
 
-def retrieve(prompts: DataFrame, chunks: DataFrame, projects: DataFrame, embedder, settings: Settings = Settings(), client: models.ChatClient | None = None, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def retrieve(prompts: DataFrame, chunks: DataFrame, projects: DataFrame, embedder, settings: Settings = Settings(), client: models.ChatClient | None = None, overrides: DataFrame | None = None, index: search.TermIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, outcomes) for (query_id, prompt).
 
     hits: query_id, place, chunk_id, bm25, cosine, bm25_norm, final, relaxed, label, doc_type, content, token_est, tokens_used, cumulative_tokens.
@@ -44,7 +44,7 @@ def retrieve(prompts: DataFrame, chunks: DataFrame, projects: DataFrame, embedde
     active = planned.where("status = 'ok'").join(vectors, "query_id")
     named = active
     active = search.resolve_projects(active.where("embedding is not null"), projects)
-    found = search.hybrid_search(chunks, active, settings.alpha, stem=settings.stem)
+    found = search.hybrid_search(chunks, active, settings.alpha, stem=settings.stem, index=index)
     scored = found.join(chunks.select("chunk_id", "label", "doc_type", "content", text.token_estimate(F.col("content")).alias("token_est")), "chunk_id")
     picked = assemble.cumulative_tokens(assemble.select_within_budget(scored, settings.budget, settings.min_score)).drop("token_est")
     hits = picked.join(scored, ["query_id", "chunk_id"])

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from kestrion.functions import text
 from kestrion.sources.scratch import Scratch
@@ -36,8 +36,8 @@ def passes(column: str) -> Column:
     return F.coalesce(F.size(wanted) <= 0, F.lit(True)) | F.coalesce(F.array_contains(wanted, F.col(column)), F.lit(False))
 
 
-#: Query terms that are broadcast to the tokens; with more, tokens and terms are shuffled together.
-TERMS_AT_ONCE = 200_000
+#: Distinct query terms that are looked for in each chunk's token arrays; with more, tokens and terms are joined.
+TERMS_AT_ONCE = 1000
 
 FILTERS = ("project_id", "doc_type", "language")
 
@@ -46,33 +46,34 @@ def with_filters(plans: DataFrame) -> DataFrame:
     return plans.select("query_id", F.col("projects").alias("project_ids"), "doc_types", "languages")
 
 
-def filtered(scored: DataFrame, chunks: DataFrame, plans: DataFrame) -> DataFrame:
-    """The scored rows whose chunk passes its plan's filters."""
-    facts = chunks.select("chunk_id", *FILTERS)
-    out = scored.join(facts, "chunk_id").join(with_filters(plans), "query_id")
+def filtered(scored: DataFrame, plans: DataFrame) -> DataFrame:
+    """The scored rows (with the chunk's facts) that pass their plan's filters."""
+    out = scored.join(with_filters(plans), "query_id")
     for column in FILTERS:
         out = out.where(passes(column))
     return out.select(scored.columns)
 
 
-def token_rows(chunks: DataFrame, stem: bool = False, marks: bool = False) -> DataFrame:
-    """chunk_id, col, pos, term, dl: the inverted index's rows; dl is the chunk's number of tokens over both columns.
+def token_arrays(chunks: DataFrame) -> DataFrame:
+    """chunk_id, the chunk's facts, t0 and t1 (the tokens of label and content), dl (the number of both)."""
+    found = chunks.select("chunk_id", *FILTERS, text.tokens(F.col("label")).alias("t0"), text.tokens(F.col("content")).alias("t1"))
+    return found.withColumn("dl", F.coalesce(F.size("t0"), F.lit(0)) + F.coalesce(F.size("t1"), F.lit(0)))
 
-    With `marks` also one row a chunk without a term, from which the corpus statistics follow.
-    """
-    found = chunks.select("chunk_id", text.tokens(F.col("label")).alias("t0"), text.tokens(F.col("content")).alias("t1"))
-    found = found.withColumn("dl", F.coalesce(F.size("t0"), F.lit(0)) + F.coalesce(F.size("t1"), F.lit(0)))
-    lists = [F.struct(F.lit(0).alias("col"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("col"), F.col("t1").alias("t"))]
-    if marks:
-        lists.append(F.struct(F.lit(2).alias("col"), F.array(F.lit(None).cast("string")).alias("t")))
-    columns = F.explode(F.array(*lists))
-    rows = found.select("chunk_id", "dl", columns.alias("c")).select("chunk_id", "dl", "c.col", F.posexplode("c.t").alias("pos", "term"))
+
+def exploded(arrays: DataFrame, *also: str) -> DataFrame:
+    """chunk_id, facts, dl, col, pos, term, and with `t` the tokens of the column."""
+    columns = F.explode(F.array(*(F.struct(F.lit(i).alias("col"), F.col(f"t{i}").alias("t")) for i in (0, 1))))
+    return arrays.select("chunk_id", *FILTERS, "dl", columns.alias("c")).select("chunk_id", *FILTERS, "dl", "c.col", *(f"c.{x}" for x in also), F.posexplode("c.t").alias("pos", "term"))
+
+
+def token_rows(chunks: DataFrame, stem: bool = False) -> DataFrame:
+    """chunk_id, facts, dl, col, pos, term: the inverted index's rows."""
+    rows = exploded(token_arrays(chunks))
     if not stem:
         return rows
     from kestrion.functions.stem import stem_table
 
-    stemmed = stem_table(rows.where("term is not null").select("term").distinct())
-    return rows.join(stemmed, "term", "left").drop("term").withColumnRenamed("stem", "term")
+    return rows.join(stem_table(rows.select("term").distinct()), "term").drop("term").withColumnRenamed("stem", "term")
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -93,20 +94,100 @@ def phrase_terms(plans: DataFrame, stem: bool = False) -> DataFrame:
     return rows.join(stem_table(rows.select("term").distinct()), "term").drop("term").withColumnRenamed("stem", "term")
 
 
-def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """The token rows that a plan asks for, beside its terms, and the rows without a term; the few terms go to the many tokens after a check of their number."""
-    few = terms.limit(TERMS_AT_ONCE + 1).count() <= TERMS_AT_ONCE
-    return rows.join(F.broadcast(terms) if few else terms, "term", "left").where("m is not null or term is null")
-
-
 def phrase_hits(met: DataFrame) -> DataFrame:
-    """query_id, phrase, chunk_id, tf, dl: adjacent occurrences of each phrase within one column, from token rows beside phrase terms."""
-    single = met.where("m = 1").groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    starts = met.where("m > 1").groupBy("query_id", "phrase", "m", "chunk_id", "col", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n"), F.first("dl").alias("dl"))
-    several = starts.where("n = m").groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """query_id, phrase, chunk_id, tf, dl, facts: adjacent occurrences of each phrase within one column, from token rows beside phrase terms."""
+    about = ("chunk_id", "dl", *FILTERS)  # facts of the chunk as keys: strings among aggregates would have to be sorted
+    single = met.where("m = 1").groupBy("query_id", "phrase", *about).agg(F.count("*").alias("tf"))
+    starts = met.where("m > 1").groupBy("query_id", "phrase", "m", *about, "col", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n"))
+    several = starts.where("n = m").groupBy("query_id", "phrase", *about).agg(F.count("*").alias("tf"))
     return single.unionByName(several)
 
 
+#: Distinct phrases that are looked for as they are while tokens are read.
+PHRASES_AT_ONCE = 64
+
+
+def few_phrases(terms: DataFrame) -> dict[tuple[str, ...], list[tuple[int, int]]] | None:
+    """(query_id, phrase) by the phrases' terms, or None where they are too many."""
+    rows = terms.select("query_id", "phrase", "i", "term").limit(TERMS_AT_ONCE + 1).collect()
+    if len(rows) > TERMS_AT_ONCE:
+        return None
+    phrases: dict[tuple[int, int], list[tuple[int, str]]] = {}
+    for r in rows:
+        phrases.setdefault((r.query_id, r.phrase), []).append((r.i, r.term))
+    out: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    for key, parts in phrases.items():
+        out.setdefault(tuple(term for _, term in sorted(parts)), []).append(key)
+    return out if len(out) <= PHRASES_AT_ONCE else None
+
+
+def occurrences(arrays: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame:
+    """chunk_id, facts, dl, number (of the phrase), tf: a token that begins a phrase is told while it is read, so that nothing else is shuffled."""
+    rows = exploded(arrays, "t").where(F.col("term").isin(list({p[0] for p in phrases})))
+    begins = []
+    for number, phrase in enumerate(phrases):
+        fits = F.col("term") == phrase[0]
+        for k, term in enumerate(phrase[1:], 1):
+            fits = fits & (F.get("t", F.col("pos") + k) == term)
+        begins.append(F.when(fits, F.lit(number)))
+    about = ("chunk_id", *FILTERS, "dl")
+    rows = rows.select(*about, F.explode(F.array(*begins)).alias("number")).where("number is not null")  # within generated code, which filters on arrays would leave
+    return rows.groupBy(*about, "number").agg(F.count("*").alias("tf"))
+
+
+def few_terms(terms: DataFrame) -> list[str] | None:
+    """The distinct terms, or None where they are too many to name."""
+    found = [r.term for r in terms.select("term").distinct().limit(TERMS_AT_ONCE + 1).collect()]
+    return found if len(found) <= TERMS_AT_ONCE else None
+
+
+def stats_of(lengths: DataFrame) -> DataFrame:
+    """One row, n and avgdl, from one row a chunk."""
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+#: Stems whose forms are looked for by their beginnings; with more, all words are kept.
+STEMS_AT_ONCE = 64
+
+
+def beginning(stems: list[str]) -> Column:
+    """Whether a term may have one of the stems: stemming changes a word from the stem's last letter on only."""
+    out = F.lit(len(stems) > STEMS_AT_ONCE)
+    for x in sorted({s[:-1] for s in stems[: STEMS_AT_ONCE + 1]}):
+        out = out | F.startswith(F.col("term"), F.lit(x))
+    return out
+
+
+def found_phrases(chunks: DataFrame, plans: DataFrame, stem: bool) -> tuple[DataFrame, DataFrame]:
+    """The hits of phrase_hits, and the corpus statistics; both from one pass over the chunks, the statistics observed on its way."""
+    spark = chunks.sparkSession
+    scratch, seen, terms = Scratch(spark, "search"), Observation(), phrase_terms(plans, stem)
+    arrays = token_arrays(chunks).observe(seen, F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    phrases = None if stem else few_phrases(terms)
+    if phrases is not None:
+        hits = scratch.keep(occurrences(arrays, list(phrases)), "hits") if phrases else None
+        asked = [(*key, number) for number, keys in enumerate(phrases.values()) for key in keys]
+        if hits is None:
+            nothing = chunks.select("chunk_id", F.lit(0).alias("dl"), *FILTERS).limit(0)
+            return nothing.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("phrase"), F.lit(0).cast("long").alias("tf"), "*"), stats_of(nothing)
+        hits = hits.join(F.broadcast(spark.createDataFrame(asked, "query_id long, phrase int, number int")), "number").drop("number")  # TERMS_AT_ONCE rows at most
+    else:
+        wanted = few_terms(terms)
+        if stem:
+            from kestrion.functions.stem import stem_table
+
+            # of distinct words those of wanted stems, then only tokens of these forms
+            words = exploded(token_arrays(chunks)).where(beginning(wanted) if wanted is not None else F.lit(True)).select("term").distinct()
+            forms = stem_table(words)
+            forms = scratch.keep(forms if wanted is None else forms.where(F.col("stem").isin(wanted)), "forms")
+            terms = terms.withColumnRenamed("term", "stem").join(forms, "stem").drop("stem")
+            wanted = few_terms(forms)
+        rows = exploded(arrays) if wanted is None else exploded(arrays).where(F.col("term").isin(wanted))
+        rows = scratch.keep(rows, "met")
+        hits = scratch.keep(phrase_hits(rows.join(terms, "term")), "hits")
+    return hits, spark.createDataFrame([(seen.get["n"], seen.get["avgdl"])], "n long, avgdl double")
+
+
 class TermIndex:
     """Token rows and statistics kept as tables, so that a search reads the terms it asks for and tokenises nothing.
 
@@ -139,32 +220,39 @@ class TermIndex:
 
     def of(self, terms: DataFrame) -> DataFrame:
         """The rows of the terms; pruned by them if they are few."""
-        wanted = [r.term for r in terms.select("term").distinct().limit(1001).collect()]
-        if len(wanted) > 1000:
+        wanted = few_terms(terms)
+        if wanted is None:
             return self.rows
+        rows = self.rows.where(F.col("term").isin(wanted))
+        if "bucket" not in rows.columns:
+            return rows
         buckets = terms.sparkSession.createDataFrame([(w,) for w in wanted] or [("",)], "term string").select(self.bucket(F.col("term")).alias("b")).distinct().collect()
-        return self.rows.where(F.col("bucket").isin([r.b for r in buckets]) & F.col("term").isin(wanted))
+        return rows.where(F.col("bucket").isin([r.b for r in buckets]))
 
 
-def bm25_scores(chunks: DataFrame, plans: DataFrame, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
-    """query_id, chunk_id, bm25 for all chunks with a hit; from the index where there is one."""
-    terms = phrase_terms(plans, index.stem if index else stem)
-    met = with_terms(index.of(terms) if index else token_rows(chunks, stem, marks=True), terms)
-    if not index:  # tokenising is the dear part: once for hits, their numbers and the statistics
-        met = Scratch(chunks.sparkSession, "search").keep(met, "met")
-    hits = phrase_hits(met)
+def scored_chunks(chunks: DataFrame, plans: DataFrame, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
+    """query_id, chunk_id, facts, bm25 for all chunks with a hit; from the index where there is one."""
+    if index:
+        terms = phrase_terms(plans, index.stem)
+        hits, stats = phrase_hits(index.of(terms).join(terms, "term")), index.stats
+    else:
+        hits, stats = found_phrases(chunks, plans, stem)
     found = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("n_p"))
-    stats = F.broadcast(index.stats if index else met.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
     idf = F.log((F.col("n") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(found, ["query_id", "phrase"]).join(stats)
-    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), DIGITS).alias("bm25"))
+    scored = hits.join(found, ["query_id", "phrase"]).join(F.broadcast(stats))  # one row
+    return scored.groupBy("query_id", "chunk_id", *FILTERS).agg(F.round(F.sum(weight), DIGITS).alias("bm25"))
+
+
+def bm25_scores(chunks: DataFrame, plans: DataFrame, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
+    """query_id, chunk_id, bm25 for all chunks with a hit."""
+    return scored_chunks(chunks, plans, stem, index).select("query_id", "chunk_id", "bm25")
 
 
 def bm25_search(chunks: DataFrame, plans: DataFrame, k: int = TOP_K, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
     """query_id, chunk_id, bm25: the keyword arm. Plans without type names and topics find nothing."""
-    return best(filtered(bm25_scores(chunks, plans, stem, index), chunks, plans), "bm25", k)
+    return best(filtered(scored_chunks(chunks, plans, stem, index), plans).select("query_id", "chunk_id", "bm25"), "bm25", k)
 
 
 def cosine_scores(chunks: DataFrame, queries: list[tuple], k: int) -> DataFrame:
@@ -186,14 +274,18 @@ def cosine_scores(chunks: DataFrame, queries: list[tuple], k: int) -> DataFrame:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
             norm = np.linalg.norm(x, axis=1)
             chunk = batch.column(0).to_numpy()
-            facts = [np.array(batch.column(c).to_pylist(), object) for c in (2, 3, 4)]
+            facts = [batch.column(c).dictionary_encode() for c in (2, 3, 4)]
+            facts = [(f.dictionary.to_pylist(), pa.compute.fill_null(f.indices, -1).to_numpy(zero_copy_only=False)) for f in facts]
             scores = np.round(x / np.where(norm > 0, norm, 1)[:, None] @ unit.T, DIGITS) + 0.0
             for q, lists in enumerate(wanted):
                 ok = norm > 0
-                for fact, allowed in zip(facts, lists):
+                for (values, codes), allowed in zip(facts, lists):
                     if allowed is not None:
-                        ok = ok & np.array([v in allowed for v in fact], bool)
+                        ok = ok & np.array([*(v in allowed for v in values), False], bool)[codes]  # null is code -1
                 s, c = np.concatenate([kept[q][0], scores[ok, q]]), np.concatenate([kept[q][1], chunk[ok]])
+                if len(s) > k:
+                    near = s >= -np.partition(-s, k - 1)[k - 1]
+                    s, c = s[near], c[near]
                 top = np.lexsort((c, -s))[:k]
                 kept[q] = (s[top], c[top])
         for q, (s, c) in zip(ids, kept):
@@ -231,15 +323,24 @@ def hybrid_once(chunks: DataFrame, plans: DataFrame, alpha: float = ALPHA, k: in
 
 
 def hybrid_search(chunks: DataFrame, plans: DataFrame, alpha: float = ALPHA, k: int = TOP_K, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
-    """The blend; plans that find nothing and filter by document type or language are answered once more without these two filters."""
+    """The blend, with `relaxed`; plans that find nothing and filter by document type or language are answered without these two filters.
+
+    Both ways are taken in one pass over the chunks, as two plans with ids of their own: query_id times two, one more where relaxed.
+    """
     scratch = Scratch(chunks.sparkSession, "search")
-    strict = scratch.keep(hybrid_once(chunks, plans, alpha, k, stem, index).withColumn("relaxed", F.lit(False)), "strict")  # at most k rows a plan
     nothing = F.array().cast("array<string>")
-    narrow = plans.where("size(doc_types) > 0 or size(languages) > 0").join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    narrow = scratch.keep(narrow.withColumn("doc_types", nothing).withColumn("languages", nothing), "narrow")
-    if narrow.isEmpty():
-        return strict
-    return strict.unionByName(hybrid_once(chunks, narrow, alpha, k, stem, index).withColumn("relaxed", F.lit(True)))
+    narrow = plans.where("size(doc_types) > 0 or size(languages) > 0").withColumn("doc_types", nothing).withColumn("languages", nothing)
+    both = plans.withColumn("query_id", F.col("query_id") * 2).unionByName(narrow.withColumn("query_id", F.col("query_id") * 2 + 1))
+    scored = scored_chunks(chunks, plans, stem, index)
+    scored = scored.select(F.explode(F.array(F.col("query_id") * 2, F.col("query_id") * 2 + 1)).alias("query_id"), "chunk_id", *FILTERS, "bm25")
+    keywords = best(filtered(scored, both).select("query_id", "chunk_id", "bm25"), "bm25", k)
+    out = scratch.keep(merge(keywords, cosine_search(chunks, both, k), alpha, k), "both")  # at most k rows a plan and way
+    relaxed = F.pmod("query_id", F.lit(2)) == 1
+    strict = out.where(~relaxed)
+    loose = out.where(relaxed).join(strict.select((F.col("query_id") + 1).alias("query_id")).distinct(), "query_id", "left_anti")
+    id_of = F.floor(F.col("query_id") / 2).cast("long").alias("query_id")
+    rest = ("chunk_id", "bm25", "cosine", "bm25_norm", "final")
+    return strict.select(id_of, *rest, F.lit(False).alias("relaxed")).unionByName(loose.select(id_of, *rest, F.lit(True).alias("relaxed")))
 
 
 def resolve_projects(plans: DataFrame, projects: DataFrame) -> DataFrame:

@@ -98,7 +98,23 @@ def label_disambiguate(spark, sf_dir):
     return disambiguate(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("label")), ["conv_id"], "turn").select("conv_id", "turn", "label")
 
 
-@query()
+#: Lines of long texts are walked one by one: w is the window that a line falls into, n its length, size what the window holds by then.
+WINDOW_SQL = r"""WITH RECURSIVE lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l FROM documents WHERE length(text) > 6000) x),
+sized AS (SELECT doc_id, i, length(line) AS n FROM lines),
+walk AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS i, 0 AS w, 0::BIGINT AS size, true AS closed FROM sized
+  UNION ALL
+  SELECT l.doc_id, l.i, CASE WHEN k.closed OR l.n > 6000 OR k.size + l.n > 6000 THEN k.w + 1 ELSE k.w END,
+         CASE WHEN k.closed OR l.n > 6000 OR k.size + l.n > 6000 THEN l.n ELSE k.size + l.n END, l.n > 6000
+  FROM walk k JOIN sized l ON l.doc_id = k.doc_id AND l.i = k.i + 1),
+windows AS (
+  SELECT doc_id, w, string_agg(left(line, 6000), '' ORDER BY i) AS content, bool_or(length(line) > 6000) AS truncated FROM walk JOIN lines USING (doc_id, i) GROUP BY doc_id, w
+  UNION ALL SELECT doc_id, 1, coalesce(text, ''), false FROM documents WHERE coalesce(length(text), 0) <= 6000)
+SELECT doc_id, (w - 1)::INTEGER AS chunk_index, 'doc-' || doc_id || CASE WHEN w > 1 THEN '#' || w ELSE '' END AS label, ceil(length(content) / 4.0)::INTEGER AS token_est, truncated, sha256(content) AS content_hash FROM windows"""
+
+
+@query(WINDOW_SQL)
 def window_chunks(spark, sf_dir):
     from kestrion.operators.windows import window_documents
 
@@ -119,9 +135,17 @@ def secret_counts(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("source").agg(F.count_if(secrets.looks_like_secret(F.col("text"))).alias("n_secret"), F.count("*").alias("n"))
 
 
-@query("SELECT page_id, CASE WHEN url LIKE '%.proto' THEN 'proto' WHEN url LIKE '%.go' THEN 'go' WHEN url LIKE '%.rs' THEN 'rust' WHEN url LIKE '%.md' THEN 'markdown' ELSE 'unknown' END AS language, 'convention' AS doc_type FROM pages")
+#: Ends of file names, dealt over the documents by id.
+ENDINGS = (".proto", ".go", ".rs", ".md", ".RS", ".tar.go", ".txt", "", ".")
+
+
+@query(f"""SELECT doc_id, CASE lower(regexp_extract(name, '^.+[.]([^.]*)$', 1)) WHEN 'proto' THEN 'proto' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'md' THEN 'markdown' ELSE 'unknown' END AS language, 'convention' AS doc_type
+FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'f' || doc_id END || list_extract({corpus.sql_list(ENDINGS)}, doc_id % {len(ENDINGS)} + 1) AS name FROM documents) x""")
 def ext_fallback_classify(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.fallback_language(F.col("url")).alias("language"), F.lit("convention").alias("doc_type"))
+    """Of file names with every ending, some with nothing before it."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
+    path = F.concat(F.lit("a.dir/"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.concat(F.lit("f"), "doc_id")), ending)
+    return documents(spark, sf_dir).select("doc_id", text.fallback_language(path).alias("language"), F.lit("convention").alias("doc_type"))
 
 
 @query(f"SELECT {doc_type_sql()} || '/' || lang AS label, count(*) AS n FROM documents GROUP BY 1")
@@ -153,8 +177,8 @@ def bm25_topk(spark, sf_dir):
 
 @query(search_sql() + " SELECT query_id, phrase - 1 AS phrase, chunk_id, tf FROM hits")
 def bm25_phrase(spark, sf_dir):
-    rows = search.token_rows(corpus.chunks(spark, sf_dir, vectors=False))
-    return search.phrase_hits(search.with_terms(rows, search.phrase_terms(resolved(spark, sf_dir)))).select("query_id", "phrase", "chunk_id", "tf")
+    hits, _ = search.found_phrases(corpus.chunks(spark, sf_dir, vectors=False), resolved(spark, sf_dir), stem=False)
+    return hits.select("query_id", "phrase", "chunk_id", "tf")
 
 
 @query(search_sql(3, 6) + " SELECT * FROM arm_b")
@@ -267,11 +291,24 @@ def render_block(spark, sf_dir):
     return assemble.render(rows)
 
 
+#: What a careless planner may answer, dealt over the conversations: known and unknown labels in any case, with white space of several kinds.
+SAID_TYPES = ("\tplan\n", "Contract", " META\u00a0", "conventions", "", "pl an", "\u2003convention", "plan")
+SAID_LANGUAGES = ("go\n", "RUST ", "klingon", "\r\nproto", "Ünknown", "\u3000markdown", "scala\x0b", "Go")
+BLANKS = " \t\n\x0b\x0c\r\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def said(values: tuple[str, ...], by: int):
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.element_at(F.array(*map(F.lit, values)), ((F.col("conv_id") * by + F.col("turn") + i) % len(values) + 1).cast("int")))
+
+
+def said_sql(values: tuple[str, ...], by: int, domain: tuple[str, ...]) -> str:
+    cleaned = f"[lower(trim(list_extract({corpus.sql_list(values)}, (conv_id * {by} + turn + i) % {len(values)} + 1), '{BLANKS}')) for i in [0, 1, 2]]"
+    return f"[x for x in {cleaned} if list_contains({corpus.sql_list(domain)}, x)]"
 
 
-@query("SELECT conv_id, turn, [lower(trim(x)) for x in string_split(text, ' ') if lower(trim(x)) IN ('contract', 'plan', 'convention', 'meta')] AS doc_types, [lower(trim(x)) for x in [role, ' Go', 'RUST '] if lower(trim(x)) IN ('go', 'rust', 'scala', 'proto', 'openapi', 'helm', 'markdown', 'unknown')] AS languages FROM conversations")
+@query(f"SELECT conv_id, turn, {said_sql(SAID_TYPES, 1, planning.DOC_TYPES)} AS doc_types, {said_sql(SAID_LANGUAGES, 3, planning.LANGUAGES)} AS languages FROM conversations")
 def plan_sanitize(spark, sf_dir):
-    raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("doc_types"), F.array("role", F.lit(" Go"), F.lit("RUST ")).alias("languages"))
+    raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", said(SAID_TYPES, 1).alias("doc_types"), said(SAID_LANGUAGES, 3).alias("languages"))
     return planning.sanitize(raw)
 
 
@@ -281,7 +318,9 @@ def plan_overrides(spark, sf_dir):
     return planning.override(corpus.plans(spark, sf_dir).drop("embedding"), o)
 
 
-@query("SELECT event_type, json_extract_string(props, '$.skip') AS skip, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT event_type, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.skip') IS NULL AS no_skip, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def event_props(spark, sf_dir):
+    """Properties out of JSON text, one that is there and one that isn't."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type", F.get_json_object("props", "$.skip").alias("skip")).agg(F.count("*").alias("n"))
+    k, skip = F.get_json_object("props", "$.k"), F.get_json_object("props", "$.skip")
+    return e.groupBy("event_type", k.alias("k"), skip.isNull().alias("no_skip")).agg(F.count("*").alias("n"))

@@ -240,6 +240,51 @@ def test_http_services():
     server.shutdown()
 
 
+def test_stems_are_those_of_sqlite(data):
+    """All words of the documents, German and French ones and odd ones too; stemming leaves what comes before the stem's last letter."""
+    import re
+    import sqlite3
+
+    import pyarrow.parquet as pq
+
+    from kestrion.functions import stem, text
+
+    plain = str.maketrans(dict(zip(text.accents()[0][: len(text.accents()[1])], text.accents()[1])))
+    words = {w for t in pq.read_table(f"{data}/documents.parquet")["text"].to_pylist() for w in re.findall(r"[^\W_]+", (t or "").lower())}
+    words |= set("straße größeres weißes œuvres naïveté élèves maßnahmen relational hopping formability ponies агентами ies sses ßed ßing".split()) | {"a" * 70 + "ing", "ß" * 40 + "ing"}
+    words = sorted({w.translate(plain) for w in words})
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='porter unicode61')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", list(enumerate(words)))
+    found: dict = {}
+    for term, row in con.execute("SELECT term, doc FROM v"):
+        found.setdefault(row, []).append(term)
+    assert all(stem.stem(w) == found[i][0] for i, w in enumerate(words) if len(found.get(i, [])) == 1)
+    assert all(w.startswith(stem.stem(w)[:-1]) for w in words)
+
+
+def test_labels_never_meet(spark):
+    import random
+
+    from kestrion.operators import definitions, index
+
+    r = random.Random(1)
+    cases = [["A", "A", "A#2"], ["A", "A#2", "A", "A"], ["A#2", "A", "A", "A#3", "A"]] + [[r.choice(["A", "A#2", "A#3", "A#2#2", "A#02", "B"]) for _ in range(9)] for _ in range(40)]
+    df = spark.createDataFrame([(i, j, x) for i, c in enumerate(cases) for j, x in enumerate(c)], "k int, o int, label string")
+    got = {(x.k, x.o): x.label for x in index.disambiguate(df, ["k"], "o").collect()}
+    for i, case in enumerate(cases):
+        labels = [x for x, _ in definitions.disambiguate([(x, "") for x in case])]
+        assert len(set(labels)) == len(labels) and [got[i, j] for j in range(len(case))] == labels
+
+
+def test_labels_lose_all_white_space(spark):
+    from kestrion.functions import text
+
+    df = spark.createDataFrame([("\tplan\n",), ("go\n",), ("\u00a0\u3000 Meta\x0b\u2003",), ("pl an",), ("",), (None,), ("\u2009",)], "x string")
+    assert [r.x for r in df.select(text.label_value(df.x).alias("x")).collect()] == ["plan", "go", "meta", "pl an", "", None, ""]
+
+
 def test_service(tmp_path, monkeypatch):
     import socket
     import sys
@@ -307,6 +352,91 @@ def test_streams(spark, tmp_path):
     assert sorted((r.outcome, r.n, r.mean_ms) for r in spark.table("outcomes").collect()) == [("injected", 1, 1.0), ("skip", 2, 3.0)]
 
 
+class Flaky:
+    """An embedder that fails for some texts until it is mended, and counts what it is asked."""
+
+    def __init__(self, log: str, bad: str):
+        self.log, self.bad = log, bad
+
+    def embed(self, texts, prefix=""):
+        import os
+
+        with open(self.log, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        if any(self.bad in t for t in texts) and not os.path.exists(self.log + ".mended"):
+            raise models.ModelError("down")
+        return models.StubEmbedder(8).embed(texts)
+
+
+def test_a_batch_without_vectors_is_taken_up_again(spark, tmp_path):
+    from kestrion.streaming import jobs
+
+    store, log = Store(spark, str(tmp_path / "s"), "stub", 8), str(tmp_path / "log")
+    project = store.get_or_create_project("p")
+    run = jobs.index_documents(store, project, Flaky(log, "two"))
+    batch = spark.createDataFrame([("a.txt", "one"), ("b.txt", "two")], "source_path string, text string").repartition(2, "source_path")
+    with pytest.raises(jobs.EmbedFailed):
+        run(batch, 0)
+    assert all(r.embedding is not None for r in store.table("chunks").collect()) and "b.txt" not in {r.source_path for r in store.table("documents").collect()}
+    (tmp_path / "log.mended").write_text("")
+    run(batch, 0)
+    assert {r.content for r in store.table("chunks").where("embedding is not null").collect()} == {"one", "two"}
+    assert sorted(open(log).read().split()).count("two") == 2
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Both start from the same state; the second one's change comes on top of the first one's, or is made anew."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "s")
+    stores = [Store(spark, path, "stub", 4) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda i: stores[i].get_or_create_project(f"p{i}"), range(4)))
+    assert sorted(r.name for r in stores[0].table("projects").collect()) == ["p0", "p1", "p2", "p3"]
+
+    def fill(i):
+        name = f"f{i}"
+        documents = spark.createDataFrame([("plan", name, name, "h")], "doc_type string, source_path string, title string, content_hash string")
+        chunks = spark.createDataFrame([(name, "plan", "go", name, f"word{i} shared", "h", 1, 0, [1.0, 0.0, 0.0, 0.0])], "source_path string, doc_type string, language string, label string, content string, content_hash string, token_est int, chunk_index int, embedding array<float>")
+        stores[i].replace(ids[i % 2], documents, chunks)  # two writers to a project
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(fill, range(4)))
+    assert sorted(r.label for r in stores[0].table("chunks").collect()) == ["f0", "f1", "f2", "f3"]
+    base = stores[0].state()
+    stores[1].set_domain(ids[1], "d")
+    with pytest.raises(Exception, match="another writer"):
+        stores[0].commit(base, projects=stores[0].table("projects", state=base))
+    stores[0].vacuum()
+    assert stores[2].table("chunks").count() == 4 and len(list((tmp_path / "s").glob("CURRENT.*"))) == 1
+
+
+def test_the_kept_index_answers_as_the_texts_do(spark, tmp_path):
+    from kestrion.operators import search
+
+    store = Store(spark, str(tmp_path / "s"), "stub", 4)
+    project = store.get_or_create_project("p")
+
+    def put(rows, kept=None):
+        documents = spark.createDataFrame([("plan", p, p, t) for p, t in rows], "doc_type string, source_path string, title string, content_hash string")
+        chunks = spark.createDataFrame([(p, "plan", "go", p, t, t, 1, 0, [1.0, 0.0, 0.0, 0.0]) for p, t in rows], "source_path string, doc_type string, language string, label string, content string, content_hash string, token_est int, chunk_index int, embedding array<float>")
+        store.replace(project, documents, chunks, kept)
+
+    def same():
+        plans = spark.createDataFrame([(1, [], ["builds widgets"], ["running", "größeres"], [], [], [1.0, 0.0, 0.0, 0.0]), (2, [], [], ["widget"], ["contract"], [], None)], "query_id long, projects array<long>, type_names array<string>, topics array<string>, doc_types array<string>, languages array<string>, embedding array<float>")
+        a, b = (sorted(map(tuple, search.hybrid_search(store.searchable(), plans, stem=True, index=x).collect())) for x in (None, store.index()))
+        assert a == b and len(a) > 0
+        return a
+
+    put([("a", "it builds widgets while running"), ("b", "a widget built by größere runners"), ("c", "nothing")])
+    first = same()
+    put([("b", "changed: no such words"), ("d", "building widgets, running on")])
+    assert same() != first
+    store.prune(project, spark.createDataFrame([("a",), ("c",)], "source_path string"))
+    same()
+    assert {r.chunk_id for r in store.table("terms").select("chunk_id").distinct().collect()} == {r.chunk_id for r in store.searchable().select("chunk_id").collect()}
+
+
 def test_command_line(spark, tmp_path, capsys):
     from kestrion.__main__ import main
 
