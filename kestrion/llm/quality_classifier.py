@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kestrion.llm.common import sub_batches, trimmed
 from kestrion.llm.language_id import in_fold
@@ -106,19 +106,19 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from (doc_id, text) and (doc_id, quality); the caller withholds what must not be learned from."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
     known = known.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     n = {(r.quality, r.half): r.n for r in known.groupBy("quality", "half").agg(F.count("*").alias("n")).collect()}
     share = {q: n.get((q, 0), 0) + n.get((q, 1), 0) for q in (0, 1)}
     if not n:
         return Model(constant=0.5)
-    # about twice as many as are wanted pass a bar on the hash, however many partitions hold them; the first of these are taken
+    # a bar on the hash lets about as many pass as are wanted, however many partitions hold them; the first of these are taken
     bar = F.lit(0)
     for (quality, half), size in n.items():
-        bar = F.when((F.col("quality") == quality) & (F.col("half") == half), F.lit(int(min(1.0, 2 * sample / size) * (1 << 30)))).otherwise(bar)
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < bar)
-    chosen = some.withColumn("place", F.row_number().over(Window.partitionBy("quality", "half").orderBy(order, "doc_id"))).where(F.col("place") <= sample).drop("place")
-    ids = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, quality int, half int")  # 4 x sample rows at most
+        bar = F.when((F.col("quality") == quality) & (F.col("half") == half), F.lit(int(min(1.0, 1.1 * sample / size) * (1 << 30)))).otherwise(bar)
+    some = known.select("doc_id", "quality", "half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)).alias("hash")).where(F.col("hash") < bar)
+    found = sorted(some.collect(), key=lambda r: (r.hash, r.doc_id))  # about 4.4 x sample rows
+    chosen = [r[:3] for q in (0, 1) for h in (0, 1) for r in [r for r in found if (r.quality, r.half) == (q, h)][:sample]]
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int, half int")
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     spare = F.greatest(F.length("text") - WINDOW, F.lit(0))
     start = F.pmod(F.xxhash64("doc_id", F.lit(2)), spare + 1).cast("int") + 1
