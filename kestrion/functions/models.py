@@ -65,6 +65,17 @@ class HttpEmbedder:
             out += [np.asarray(v, np.float32) for v in got]
         return out
 
+    def verify(self, model: str) -> None:
+        """Refuses a server of another model or dimension, whose vectors would spoil a store for good. A server that doesn't tell its model passes."""
+        self.embed(["ping"], QUERY_PREFIX)
+        try:
+            with urllib.request.urlopen(self.url.rstrip("/") + "/info", timeout=self.timeout) as answer:
+                found = json.loads(answer.read()).get("model_id")
+        except (OSError, ValueError, AttributeError):
+            return
+        if found and found != model:
+            raise ModelError(f"{self.url} serves {found}, not {model}")
+
 
 def embed_column(embedder, prefix: str = DOCUMENT_PREFIX):
     """A vector for each text, null where the embedder fails; in Arrow batches."""
@@ -91,6 +102,7 @@ class ChatClient:
     timeout: float = 3.0
     most_tokens: int = 512
     headers: tuple[tuple[str, str], ...] = ()
+    thinking: bool | None = None  # None: the server's own choice; False spares a local model's long deliberation
 
     def endpoint(self) -> str:
         return self.url.rstrip("/") + ("/chat/completions" if self.protocol == "openai" else "/v1/messages")
@@ -99,6 +111,8 @@ class ChatClient:
         if self.protocol == "openai":
             headers = ({"Authorization": f"Bearer {self.key}"} if self.key else {}) | dict(self.headers)
             body = {"model": self.model, "max_tokens": self.most_tokens, "temperature": 0, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
+            if self.thinking is not None:
+                body["chat_template_kwargs"] = {"enable_thinking": self.thinking}
             got = post(self.endpoint(), body, self.timeout, headers)
             try:
                 return got["choices"][0]["message"]["content"]

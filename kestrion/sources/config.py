@@ -21,7 +21,7 @@ class Defaults:
 
 @dataclass(frozen=True)
 class Service:
-    """A model service; mode `rules` means none, `auto` the first that answers."""
+    """A model service; mode `rules` means none, `auto` the local one if it answers, else the hosted one if its key is set, else none."""
 
     mode: str = "rules"
     url: str = ""
@@ -30,6 +30,11 @@ class Service:
     key_env: str = ""
     timeout_ms: int = 3000
     aliases: dict[str, str] = field(default_factory=dict)
+    thinking: bool | None = None
+    hosted_url: str = ""
+    hosted_model: str = ""
+    hosted_protocol: str = "messages"
+    hosted_key_env: str = ""
 
 
 @dataclass(frozen=True)
@@ -65,7 +70,7 @@ alpha = 0.6
 min_score = 0.15
 
 [router]
-mode = "rules"  # or "http" with url, model, protocol and key_env, or "auto"
+mode = "rules"  # or "http" with url, model, protocol and key_env, or "auto" with these and their hosted_... fellows
 
 [embeddings]
 model = "stub"

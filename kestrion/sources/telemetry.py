@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +20,18 @@ def lines(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*(shaped.get(c, lambda x: x)(F.col(c)).alias(c) for c in there))).alias("value"))
 
 
+def line(record: dict) -> str:
+    """One record, made on the driver, in the form of `lines`: it must not fail where Spark does."""
+    from datetime import datetime, timezone
+
+    shaped = {k: record[k] for k in FIELDS if record.get(k) is not None}
+    if "ts" in shaped:
+        shaped["ts"] = datetime.fromtimestamp(shaped["ts"], timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    if len(shaped.get("error", "")) > 200:
+        shaped["error"] = shaped["error"][:200] + "…"
+    return json.dumps(shaped, ensure_ascii=False, separators=(",", ":"))
+
+
 def append(path: str, rendered: list[str], most: int = MOST_BYTES) -> bool:
     """Appends lines to a local log; beyond `most` bytes the log becomes <path>.1 first. False, and nothing raised, if that fails."""
     try:

@@ -74,11 +74,19 @@ class Store:
         state = self.state()
         if state is None:
             self._fs.mkdirs(self._path(self.path))
+            self._restrict(self._path(self.path), "700")
             self._put(0, {"model": model, "dim": dim, "projects": "", "documents": {}, "chunks": {}, "terms": {}})
             state = self.state()
         if (state["model"], state["dim"]) != (model, dim):
             raise IncompatibleEmbedding(f"the store holds {state['model']} of {state['dim']} dimensions, not {model} of {dim}")
 
+    def _restrict(self, at, mode: str) -> None:
+        """Access for the owner only, where the file system has such a thing."""
+        try:
+            self._fs.setPermission(at, self.spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission(mode))
+        except Exception:  # noqa: BLE001 - best effort
+            pass
+
     def _pointers(self) -> list[int]:
         found = self._fs.globStatus(self._path(f"{self.path}/CURRENT.*")) or []
         return sorted(int(x) for f in found if (x := f.getPath().getName().partition(".")[2]).isdigit())
@@ -101,6 +109,7 @@ class Store:
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps({k: v for k, v in state.items() if k != "n"}, sort_keys=True).encode()))
         out.close()
+        self._restrict(new, "600")
         try:
             if self._fs.getUri().getScheme() == "file":  # a hard link is made by one writer only, a local rename by any
                 os.link(*(unquote(urlsplit(str(self._fs.makeQualified(p).toUri())).path) for p in (new, to)))

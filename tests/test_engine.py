@@ -175,7 +175,7 @@ def test_retrieve(spark, tmp_path):
     hits, outcomes = retrieve.retrieve(spark.createDataFrame(prompts, "query_id long, prompt string"), store.searchable(), store.table("projects"), models.StubEmbedder(16), retrieve.Settings(min_score=0.3))
     got = {r.query_id: r for r in outcomes.collect()}
     assert got[1].outcome == "injected" and got[1].block.startswith("<software-context>\n## message BuildRequest [convention]\n// Asks") and got[1].chunks >= 1
-    assert {q: (got[q].outcome, got[q].reason) for q in (2, 3, 4)} == {q: ("skip", "planner-skip") for q in (2, 3, 4)} and got[5].reason == "no-hits"
+    assert {q: (got[q].outcome, got[q].reason) for q in (2, 3, 4)} == {2: ("skip", "router-skip"), 3: ("skip", "empty-prompt"), 4: ("skip", "empty-prompt")} and got[5].reason == "no-hits"
     top = hits.where("query_id = 1 and place = 1").first()
     assert top.label == "message BuildRequest" and top.cumulative_tokens == top.token_est and top.final >= 0.3
 
@@ -218,6 +218,11 @@ def test_http_services():
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
     class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"model_id": "served"}).encode())
+
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
             answer = {"/embed": [[float(len(t)), 1.0] for t in body.get("inputs", [])], "/chat/completions": {"choices": [{"message": {"content": '{"skip": true}'}}]}, "/v1/messages": {"content": [{"text": "a"}, {"text": "b"}]}}[self.path]
@@ -235,6 +240,18 @@ def test_http_services():
     assert len(vectors) == 40 and vectors[0][0] == 4
     with pytest.raises(models.ModelError):
         models.HttpEmbedder(url, 3).embed(["x"])
+    models.HttpEmbedder(url, 2).verify("served")
+    with pytest.raises(models.ModelError, match="serves served"):
+        models.HttpEmbedder(url, 2).verify("another")
+    from kestrion.__main__ import client_of
+
+    down = "http://127.0.0.1:9"
+    hosted = {"hosted_url": url, "hosted_model": "big", "hosted_key_env": "HOSTED_KEY"}
+    os.environ.pop("HOSTED_KEY", None)
+    assert client_of(config.Service("auto", url, "m", **hosted)).model == "m" and client_of(config.Service("auto", down, "m", **hosted)) is None
+    os.environ["HOSTED_KEY"] = "k"
+    assert client_of(config.Service("auto", down, "m", **hosted)).model == "big" and client_of(config.Service("auto", url, "m", thinking=False)).thinking is False
+    del os.environ["HOSTED_KEY"]
     assert models.ChatClient(url, "m").ask("s", "p") == '{"skip": true}' and models.ChatClient(url, "m", "messages").ask("s", "p") == "ab"
     assert models.first_reachable([models.ChatClient("http://127.0.0.1:9", "m"), models.ChatClient(url, "m")]).url == url
     server.shutdown()
@@ -449,3 +466,42 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--home", home, "diagnose", "How is it used?", "--type-names", "Widget", "--alpha", "1"]) == 0 and "type Widget" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["--home", home, "diagnose", "x", "--languages", "elvish"])
+
+
+def test_answers_fail_open(spark, tmp_path, capsys, monkeypatch):
+    """Whatever fails, retrieve prints nothing, returns 0 and logs the step."""
+    import io
+
+    from kestrion.__main__ import main
+
+    home = tmp_path / "home"
+
+    def asked(stdin, *args):
+        monkeypatch.setattr("sys.stdin", io.StringIO(stdin))
+        assert main(["--home", str(home), "retrieve", *args]) == 0
+        return capsys.readouterr().out, json.loads((home / "telemetry.log").read_text().splitlines()[-1])
+
+    for envelope in ("{", "[]", '{"prompt": 3}', "{}", ""):
+        out, record = asked(envelope)
+        assert out == "" and (record["outcome"], record["stage"]) == ("failed", "stdin") and record["error"] and record["total_ms"] >= 0
+    out, record = asked('{"prompt": " ", "other": 1}')
+    assert out == "" and (record["outcome"], record["reason"]) == ("skip", "empty-prompt")
+    home.mkdir(exist_ok=True)
+    for text, stage in (("[nope]\n", "config"), ("[router]\nmode = 'http'\nurl = 'http://127.0.0.1:9'\nkey_env = 'NO_SUCH_KEY'\n", "router-build"), ("[embeddings]\nurl = 'http://127.0.0.1:9'\nquery_timeout_ms = 200\n", "embedder-build"), ("[router]\nmode = 'http'\nurl = 'http://127.0.0.1:9'\nmodel = 'm'\n", "router-plan")):
+        (home / "config.toml").write_text(text)
+        out, record = asked('{"prompt": "How is the Widget used?"}')
+        assert out == "" and (record["outcome"], record["stage"]) == ("failed", stage)
+    (home / "config.toml").write_text("[embeddings]\ndims = 8\n")
+    out, record = asked("", "How is the Widget used?")
+    assert (record["outcome"], record["stage"]) == ("failed", "db-open")  # the store holds vectors of 768
+    (home / "config.toml").write_text("")
+    write(tmp_path / "proj", {"a.go": "// Widget is one.\ntype Widget int\n"})
+    assert main(["--home", str(home), "sync", str(tmp_path / "proj")]) == 0
+    capsys.readouterr()
+    out, record = asked('{"prompt": "How is the proj Widget used?"}')
+    assert "## type Widget" in out and record["outcome"] == "injected" and record["backend"] == "rules" and {"router_ms", "embed_ms", "query_ms", "chunks", "tokens"} <= set(record)
+    assert oct(os.stat(home / "store").st_mode & 0o777) == "0o700" and all(oct(p.stat().st_mode & 0o777) == "0o600" for p in (home / "store").glob("CURRENT.*"))
+    assert main(["--home", str(home), "diagnose", "anything", "--no-router", "--stub", "--topics", "widget", "--alpha", "1", "--top", "1"]) == 0
+    out = capsys.readouterr().out
+    assert "router passed over" in out and "alpha 1.0" in out and "type Widget" in out and "// Widget is one." in out and "cosines mean nothing" in out
+    assert main(["--home", str(home), "diagnose", "thanks"]) == 0 and "no context is needed" in capsys.readouterr().out
