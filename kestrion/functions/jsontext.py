@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -37,11 +36,3 @@ def first_balanced(text: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     return texts.map(first_balanced)
-
-
-def valid(text: str | None) -> bool:
-    try:
-        json.loads(text or "")
-    except ValueError:
-        return False
-    return True

@@ -20,6 +20,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from kestrion.functions import text
 
 DOCUMENT_PREFIX, QUERY_PREFIX, AT_ONCE = "search_document: ", "search_query: ", 32
+#: Calls of a chat model that one task has under way.
+CALLS_AT_ONCE = 8
 
 
 class ModelError(RuntimeError):
@@ -155,7 +157,9 @@ CLASSIFY_PROMPT = (
 
 
 def ask_column(client: ChatClient, system: str):
-    """The model's reply to each prompt, null where it fails."""
+    """The model's reply to each prompt, null where it fails; up to CALLS_AT_ONCE calls of a task wait together."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.sql.types import StringType
 
     @F.pandas_udf(StringType())
@@ -166,7 +170,8 @@ def ask_column(client: ChatClient, system: str):
             except ModelError:
                 return None
 
-        return prompts.map(one)
+        with ThreadPoolExecutor(CALLS_AT_ONCE) as pool:
+            return pd.Series(list(pool.map(one, prompts)), dtype=object)
 
     return run
 
@@ -185,7 +190,7 @@ def plan_by_rules(prompt: str | None, projects: list[str], domain_values: dict[s
         return {"skip": True}
     types = list(dict.fromkeys(_TYPE_NAME.findall(prompt)))
     topics = list(dict.fromkeys(w.lower() for w in _WORD.findall(prompt) if w.lower() not in COMMON and w not in types))
-    return {"skip": False, "projects": [p for p in projects if p.lower() in words], "type_names": types, "topics": topics[:8], **{k: [v for v in values if v in words] for k, values in domain_values.items()}}
+    return {"skip": False, "projects": [p for p in projects if p.lower() in words], "type_names": types, "topics": topics, **{k: [v for v in values if v in words] for k, values in domain_values.items()}}
 
 
 def plans_by_rules(prompts: DataFrame, projects: list[str], domain_values: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -237,10 +242,5 @@ def reachable(url: str, timeout: float = 0.2) -> bool:
     return True
 
 
-def first_reachable(clients: list) -> object | None:
-    """The first client whose service answers; how `auto` chooses a local service over a hosted one."""
-    return next((c for c in clients if reachable(c.url)), None)
-
-
 def cost_estimate(files: int, each: float = 0.0002) -> float:
     return files * each

@@ -121,14 +121,15 @@ def few_phrases(terms: DataFrame) -> dict[tuple[str, ...], list[tuple[int, int]]
     return out if len(out) <= PHRASES_AT_ONCE else None
 
 
-def occurrences(arrays: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame:
-    """chunk_id, facts, dl, number (of the phrase), tf: a token that begins a phrase is told while it is read, so that nothing else is shuffled."""
-    rows = exploded(arrays, "t").where(F.col("term").isin(list({p[0] for p in phrases})))
+def occurrences(arrays: DataFrame, phrases: list[tuple[list[str], ...]]) -> DataFrame:
+    """chunk_id, facts, dl, number (of the phrase), tf of phrases, each a list of forms by place: a token that begins a phrase is told while it is
+    read, so that nothing else is shuffled."""
+    rows = exploded(arrays, "t").where(F.col("term").isin(sorted({form for p in phrases for form in p[0]})))
     begins = []
     for number, phrase in enumerate(phrases):
-        fits = F.col("term") == phrase[0]
-        for k, term in enumerate(phrase[1:], 1):
-            fits = fits & (F.get("t", F.col("pos") + k) == term)
+        fits = F.col("term").isin(phrase[0])
+        for k, forms in enumerate(phrase[1:], 1):
+            fits = fits & F.get("t", F.col("pos") + k).isin(forms)
         begins.append(F.when(fits, F.lit(number)))
     about = ("chunk_id", *FILTERS, "dl")
     rows = rows.select(*about, F.explode(F.array(*begins)).alias("number")).where("number is not null")  # within generated code, which filters on arrays would leave
@@ -163,25 +164,27 @@ def found_phrases(chunks: DataFrame, plans: DataFrame, stem: bool) -> tuple[Data
     spark = chunks.sparkSession
     scratch, seen, terms = Scratch(spark, "search"), Observation(), phrase_terms(plans, stem)
     arrays = token_arrays(chunks).observe(seen, F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    phrases = None if stem else few_phrases(terms)
-    if phrases is not None:
-        hits = scratch.keep(occurrences(arrays, list(phrases)), "hits") if phrases else None
-        asked = [(*key, number) for number, keys in enumerate(phrases.values()) for key in keys]
-        if hits is None:
+    phrases, wanted, forms_of = few_phrases(terms), few_terms(terms), None
+    if stem:
+        from kestrion.functions.stem import stem_table
+
+        # of distinct words those of wanted stems, then only tokens of these forms
+        words = exploded(token_arrays(chunks)).where(beginning(wanted) if wanted is not None else F.lit(True)).select("term").distinct()
+        forms = stem_table(words)
+        forms = scratch.keep(forms if wanted is None else forms.where(F.col("stem").isin(wanted)), "forms")
+        rows = forms.limit(TERMS_AT_ONCE + 1).collect()
+        wanted = [r.term for r in rows] if len(rows) <= TERMS_AT_ONCE else None
+        forms_of = {s: [r.term for r in rows if r.stem == s] for s in {r.stem for r in rows}}
+        terms = terms.withColumnRenamed("term", "stem").join(forms, "stem").drop("stem")
+    if phrases is not None and wanted is not None:
+        asked = {p: keys for p, keys in phrases.items() if forms_of is None or all(x in forms_of for x in p)}
+        shapes = [tuple(forms_of[x] if stem else [x] for x in p) for p in asked]
+        numbers = spark.createDataFrame([(*key, number) for number, keys in enumerate(asked.values()) for key in keys], "query_id long, phrase int, number int")
+        if not asked:
             nothing = chunks.select("chunk_id", F.lit(0).alias("dl"), *FILTERS).limit(0)
             return nothing.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("phrase"), F.lit(0).cast("long").alias("tf"), "*"), stats_of(nothing)
-        hits = hits.join(F.broadcast(spark.createDataFrame(asked, "query_id long, phrase int, number int")), "number").drop("number")  # TERMS_AT_ONCE rows at most
+        hits = scratch.keep(occurrences(arrays, shapes), "hits").join(F.broadcast(numbers), "number").drop("number")  # TERMS_AT_ONCE rows at most
     else:
-        wanted = few_terms(terms)
-        if stem:
-            from kestrion.functions.stem import stem_table
-
-            # of distinct words those of wanted stems, then only tokens of these forms
-            words = exploded(token_arrays(chunks)).where(beginning(wanted) if wanted is not None else F.lit(True)).select("term").distinct()
-            forms = stem_table(words)
-            forms = scratch.keep(forms if wanted is None else forms.where(F.col("stem").isin(wanted)), "forms")
-            terms = terms.withColumnRenamed("term", "stem").join(forms, "stem").drop("stem")
-            wanted = few_terms(forms)
         rows = exploded(arrays) if wanted is None else exploded(arrays).where(F.col("term").isin(wanted))
         rows = scratch.keep(rows, "met")
         hits = scratch.keep(phrase_hits(rows.join(terms, "term")), "hits")

@@ -253,7 +253,6 @@ def test_http_services():
     assert client_of(config.Service("auto", down, "m", **hosted)).model == "big" and client_of(config.Service("auto", url, "m", thinking=False)).thinking is False
     del os.environ["HOSTED_KEY"]
     assert models.ChatClient(url, "m").ask("s", "p") == '{"skip": true}' and models.ChatClient(url, "m", "messages").ask("s", "p") == "ab"
-    assert models.first_reachable([models.ChatClient("http://127.0.0.1:9", "m"), models.ChatClient(url, "m")]).url == url
     server.shutdown()
 
 
