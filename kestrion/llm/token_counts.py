@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kestrion.llm.common import sub_batches, trimmed
 from kestrion.sources.scratch import Scratch
@@ -142,6 +142,11 @@ def places(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(number, "part long, place long, doc_id long")
 
 
+def place_of_file(name: Column) -> tuple[Column, Column]:
+    """The task's number and the place among its files, from the names that Spark gives: part-<task>-<uuid>-c<place>.<ending>."""
+    return F.regexp_extract(name, r"part-(\d+)[^/]*$", 1).cast("long"), F.regexp_extract(name, r"-c(\d+)(?:\.[^/]*)?$", 1).try_cast("long")
+
+
 def count(docs: DataFrame, vocabulary: str, pattern: str, end: int, width: int = WIDTH, **how) -> DataFrame:
     """Writes the documents as flat files and counts them there: doc_id, file (its name), doc_no, first_token, n_tokens, terminated."""
     spark = docs.sparkSession
@@ -149,7 +154,7 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, end: int, width: int =
     to = scratch.path("files")
     write_flat(docs, to, vocabulary, pattern, end, width)
     name = F.regexp_extract("file", r"([^/]+)$", 1)
-    part, roll = (F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)[^/]*$"))
+    part, roll = place_of_file(F.col("file"))
     found = scan(spark, to, end, width=width, **how).withColumn("file", name)
     found = scratch.keep(found.select("file", part.alias("part"), F.coalesce(roll, F.lit(0)).alias("roll"), "doc_no", "first_token", "n_tokens", "terminated"), "found")
     # a task's files are its rows' runs in order: what the earlier ones hold comes before

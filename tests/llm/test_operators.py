@@ -257,6 +257,12 @@ def test_token_counts_of_rolled_files(spark, docs, data):
     assert len({r.file for r in found}) >= len(want) / 7
 
 
+def test_token_file_names(spark):
+    names = ["x/part-00003-1f2e-c012-c4de-aaaa-c77777777777-c005.txt", "part-00000-aaaa-c000", "file:/part-9/part-00012-c1c1c1c1-c0.txt"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [tuple(r) for r in df.select(*token_counts.place_of_file(df.n)).collect()] == [(3, 5), (0, 0), (12, 0)]
+
+
 def test_token_widths(docs, tmp_path):
     import public_tokenizers
 
