@@ -45,17 +45,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the sources' schedule; files don't keep it, so that the last stage tells it by `slot`."""
+    """All documents, in the order of the sources' schedule; files don't keep it, so their places are kept beside them for the last stage."""
     return mixing.interleave(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (binary, little-endian 32-bit), n_tokens, digests of ids and decoded text, slot and in_target.
 
-    The schedule follows from the documents alone, which mixing keeps all: the rows ordered by slot are the mixed stream, and
-    the weights hold as far as in_target does.
+    The places are those that mixing gave: the rows ordered by slot are the mixed stream, and the weights hold as far as
+    in_target does. Documents that weren't mixed have no slot.
     """
-    mixed = mixing.schedule(docs.select("doc_id", "source", "text")).select("doc_id", "text", "slot", "in_target")
+    mixed = mixing.placed(docs.select("doc_id", "source", "text")).select("__row.doc_id", "__row.text", "slot", "in_target")
     encoded = bpe.encode_decode(mixed, tokenizer_path(), also=("slot", "in_target"))
     return bpe.digest(encoded, "ids", "slot", "in_target")
 
@@ -73,12 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for documents; what a stage kept on its way goes when its output is written."""
+    """The last stage's rows for documents; what a stage kept on its way goes when its output is written, but for the places of the mix."""
     docs, before = table(spark, sf_dir, "documents"), used(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             scratch = Scratch(spark, "pipeline")
             docs = scratch.keep(docs, f"stage{k}")
-            clear(spark, [*before, scratch.base])
+            places = mixing.places_of(docs)
+            clear(spark, [*before, scratch.base, *([places.rpartition("/")[0]] if places else [])])
     return docs

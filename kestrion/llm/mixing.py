@@ -37,6 +37,10 @@ RUN_BLOCKS, RUNS = 64, 4096
 #: Sources beyond which the per-source table is refused; it is gathered and broadcast.
 MOST_SOURCES = 65_536
 _NAME = "coalesce(concat('s', source), 'null')"
+#: What a document is known again by; rows alike in all of it have one place, the first of theirs.
+_KEY = {"__source": "source", "__id": "doc_id", "__chars": "length(text)", "__hash": "xxhash64(text)"}
+#: In the metadata of columns: the path of their documents' places.
+LINK = "mixing.places"
 
 
 def shares(weights: dict[str, float], frame: int) -> dict[str, int]:
@@ -127,9 +131,35 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, te
     )
 
 
+def places_of(docs: DataFrame) -> str | None:
+    """Where the places lie that `interleave` gave these documents; None if they don't come from it."""
+    return next((f.metadata[LINK] for f in docs.schema if LINK in f.metadata), None)
+
+
+def placed(docs: DataFrame, places: str | None = None) -> DataFrame:
+    """Each document as __row, with the slot and in_target that `interleave` gave it; null and false if it gave none.
+
+    Nothing is scheduled here: the places are those that the documents' schema names, whatever happened to their order.
+    """
+    places = places or places_of(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), *(F.expr(e).alias(k) for k, e in _KEY.items()))
+    if places is None:
+        return rows.select("__row", F.lit(None).cast("long").alias("slot"), F.lit(False).alias("in_target"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in _KEY]
+    found = rows.alias("d").join(docs.sparkSession.read.parquet(places).alias("p"), same, "left")
+    return found.select("__row", "slot", F.coalesce("in_target", F.lit(False)).alias("in_target"))
+
+
 def interleave(docs: DataFrame, **how) -> DataFrame:
-    """The documents themselves in the schedule's order (those without a slot last), range-partitioned by it."""
-    order = [F.col("slot").asc_nulls_last(), F.xxhash64("doc_id", F.lit(3))]
-    out = schedule(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row")), **how)
+    """The documents themselves in the schedule's order (those without a slot last), range-partitioned by it.
+
+    Files and shuffles don't keep an order; so each document's place is written to a table too, whose path goes with the
+    columns' metadata (Spark's Parquet files keep it), and `placed` tells it again.
+    """
+    scratch, keys = Scratch(docs.sparkSession, "places"), [F.expr(e).alias(k) for k, e in _KEY.items()]
+    slots = schedule(docs.select("doc_id", "source", "text", *keys), **how).groupBy(*_KEY)
+    places = scratch.paths[id(scratch.keep(slots.agg(F.min("slot").alias("slot"), F.max("in_target").alias("in_target")), "places"))][0]
+    order = [F.col("slot").asc_nulls_last(), F.xxhash64("__row.doc_id", F.lit(3))]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.select("doc_id", "slot", "__row").repartitionByRange(n, *order).sortWithinPartitions(*order).select("__row.*")
+    out = placed(docs, places).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return out.select(*(F.col(f"__row.`{f.name}`").alias(f.name, metadata=f.metadata | {LINK: places}) for f in docs.schema))

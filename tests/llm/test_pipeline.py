@@ -57,6 +57,43 @@ def test_the_mix_reaches_the_last_rows(spark, data):
     assert all(abs(first.count(s) / len(first) - weight[s]) < 0.05 for s in blocks) and abs(weight["a"] - 40 / 56) > 0.1
 
 
+def test_the_last_stage_takes_the_places_from_the_mix(spark, data, tmp_path):
+    """Other weights in the mix are other slots at the end, through files in any order too; without the mix there are none."""
+    text = "some words of it " * 2000
+    rows = [(i, f"{i} {text}", "en", "abc"[i % 3], 0) for i in range(60)]
+    rows += [(7, "same id, other text", "en", "a", 0), (8, "", "en", "b", 0), (8, None, "en", "c", 0), (None, "no id", "en", "c", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+
+    def places(out):
+        return sorted((str(r.doc_id), r.slot, r.in_target) for r in out.collect())
+
+    found = []
+    for k, weights in enumerate((None, {"a": 9, "b": 1, "c": 1})):
+        mixing.interleave(docs, weights=weights).repartition(2).write.parquet(path := f"{tmp_path}/{k}")
+        found.append(places(corpus_pipeline.token_ids(spark, spark.read.parquet(path), data)))
+        assert found[k] == places(mixing.schedule(docs, weights=weights))
+    assert found[0] != found[1]
+    assert {x[1:] for x in places(corpus_pipeline.token_ids(spark, docs, data))} == {(None, False)}
+
+
+def test_rows_alike_have_one_place(spark):
+    """No row is lost or repeated for it, one in another source has its own, and a document that came later has none."""
+    rows = [(1, "x" * 50_000, "en", "a", 0)] * 5 + [(1, "x" * 50_000, "en", "c", 0)] + [(None, None, "en", None, 0)] * 3 + [(2, "y", "en", "b", 0)]
+    mixed = mixing.interleave(spark.createDataFrame(rows, DOCS))
+    found = mixing.placed(mixed.unionByName(spark.createDataFrame([(3, "later", "en", "a", 0)], DOCS)), mixing.places_of(mixed)).select("__row.doc_id", "__row.source", "slot").collect()
+    assert len(found) == 11 and len({tuple(r) for r in found}) == 5 and len({r.slot for r in found}) == 5 and [r.doc_id for r in found if r.slot is None] == [3]
+
+
+def test_run_hands_the_places_on(spark, data, monkeypatch):
+    """What the mix decided outlives the clearing between stages; the pipeline without its mix tells no slots."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = {(r.doc_id, r.slot, r.in_target) for r in corpus_pipeline.run(spark, data).collect()}
+    assert found == {(r.doc_id, r.slot, r.in_target) for r in mixing.schedule(docs).collect()}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("no mix", lambda spark, docs, sf_dir: docs), corpus_pipeline.STAGES[1]])
+    assert {r.slot for r in corpus_pipeline.run(spark, data).collect()} == {None}
+
+
 def test_language_stage_drops_unlearned_languages_only(spark, data):
     """Texts in scripts that no profile has seen go; clean texts in learned languages stay, short ones too."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
