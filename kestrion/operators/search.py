@@ -41,6 +41,30 @@ TERMS_AT_ONCE = 1000
 
 FILTERS = ("project_id", "doc_type", "language")
 
+#: Rows of a table of plans, phrases or their terms that are broadcast at most; with more, the rows beside them are dealt over so many tasks a key.
+BROADCAST_ROWS, SPREAD = 100_000, 64
+#: Rows of wanted terms that a task counts phrases in.
+ROWS_A_TASK = 250_000
+
+
+def few(rows: DataFrame) -> bool:
+    """Whether the rows can be broadcast."""
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def beside(rows: DataFrame, facts: DataFrame, on: list[str], broadcast: bool) -> DataFrame:
+    """The rows of chunks joined with facts of a key. No task gets all rows of a frequent key: they stay where they are, or are dealt by chunk as well."""
+    if broadcast:
+        return rows.join(F.broadcast(facts), on)
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)).cast("int")
+    parts = facts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("__part", part).join(parts, [*on, "__part"]).drop("__part")
+
+
+def dealt(met: DataFrame) -> DataFrame:
+    """Rows dealt by chunk, as many a task whatever the corpus and the session's number of partitions."""
+    return met.repartition(met.count() // ROWS_A_TASK + 1, "chunk_id")
+
 
 def with_filters(plans: DataFrame) -> DataFrame:
     return plans.select("query_id", F.col("projects").alias("project_ids"), "doc_types", "languages")
@@ -48,7 +72,8 @@ def with_filters(plans: DataFrame) -> DataFrame:
 
 def filtered(scored: DataFrame, plans: DataFrame) -> DataFrame:
     """The scored rows (with the chunk's facts) that pass their plan's filters."""
-    out = scored.join(with_filters(plans), "query_id")
+    wanted = with_filters(plans)
+    out = beside(scored, wanted, ["query_id"], few(wanted))
     for column in FILTERS:
         out = out.where(passes(column))
     return out.select(scored.columns)
@@ -187,34 +212,41 @@ def found_phrases(chunks: DataFrame, plans: DataFrame, stem: bool) -> tuple[Data
     else:
         rows = exploded(arrays) if wanted is None else exploded(arrays).where(F.col("term").isin(wanted))
         rows = scratch.keep(rows, "met")
-        hits = scratch.keep(phrase_hits(rows.join(terms, "term")), "hits")
+        hits = scratch.keep(phrase_hits(dealt(beside(rows, terms, ["term"], few(terms)))), "hits")
     return hits, spark.createDataFrame([(seen.get["n"], seen.get["avgdl"])], "n long, avgdl double")
 
 
 class TermIndex:
     """Token rows and statistics kept as tables, so that a search reads the terms it asks for and tokenises nothing.
 
-    Rows are partitioned by a hash of the term and sorted by term and chunk, a frequent term over several files: a search prunes folders
-    by bucket and row groups by term.
+    Rows lie in segments: files of whole chunks, of about `SEGMENT` bytes of text each, sorted by term and chunk. A segment is made by one task
+    from its chunks, so that a task's memory follows from `SEGMENT`, not from the corpus, and no tokens are shuffled. A search prunes row groups
+    and pages by term.
     """
 
-    BUCKETS = 64
+    SEGMENT = 8 << 20
+    #: Values that the Parquet reader tells one by one in a filter; of longer lists it takes the ends only.
+    VALUES_AT_ONCE = 10
 
     def __init__(self, rows: DataFrame, stats: DataFrame, stem: bool):
         self.rows, self.stats, self.stem = rows, stats, stem
 
-    @staticmethod
-    def bucket(term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(TermIndex.BUCKETS)).cast("int")
-
     @classmethod
     def build(cls, chunks: DataFrame, path: str, stem: bool = False) -> TermIndex:
-        rows = token_rows(chunks, stem).withColumn("bucket", cls.bucket(F.col("term")))
-        order = ["bucket", "term", "chunk_id", "col", "pos"]
-        n = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        rows.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
-        corpus_stats(chunks).withColumn("stem", F.lit(stem)).write.mode("overwrite").parquet(f"{path}/stats")
-        return cls.open(chunks.sparkSession, path)
+        spark, seen = chunks.sparkSession, Observation()
+        chunks = chunks.select("chunk_id", "label", "content", *FILTERS)
+        size = chunks.agg(F.sum(F.coalesce(F.octet_length("label"), F.lit(0)) + F.coalesce(F.octet_length("content"), F.lit(0))).alias("n")).first().n or 0
+        n = size // cls.SEGMENT + 1
+        arrays = token_arrays(chunks if stem else chunks.repartition(n, "chunk_id"))
+        if stem:
+            stats = stats_of(arrays).first()
+            rows = token_rows(chunks, stem).repartition(n, "chunk_id")
+        else:
+            rows = exploded(arrays.observe(seen, F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+        rows.sortWithinPartitions("term", "chunk_id", "col", "pos").write.mode("overwrite").parquet(f"{path}/rows")
+        found = (stats.n, stats.avgdl) if stem else (seen.get["n"], seen.get["avgdl"])
+        spark.createDataFrame([(*found, stem)], "n long, avgdl double, stem boolean").write.mode("overwrite").parquet(f"{path}/stats")
+        return cls.open(spark, path)
 
     @classmethod
     def open(cls, spark, path: str) -> TermIndex:
@@ -226,25 +258,26 @@ class TermIndex:
         wanted = few_terms(terms)
         if wanted is None:
             return self.rows
-        rows = self.rows.where(F.col("term").isin(wanted))
-        if "bucket" not in rows.columns:
-            return rows
-        buckets = terms.sparkSession.createDataFrame([(w,) for w in wanted] or [("",)], "term string").select(self.bucket(F.col("term")).alias("b")).distinct().collect()
-        return rows.where(F.col("bucket").isin([r.b for r in buckets]))
+        wanted, out = sorted(wanted), F.lit(False)
+        for low in range(0, len(wanted), self.VALUES_AT_ONCE):
+            out = out | F.col("term").isin(wanted[low : low + self.VALUES_AT_ONCE])
+        return self.rows.where(F.col("term").isin(wanted)).where(out)  # the first is told from a hash set
 
 
 def scored_chunks(chunks: DataFrame, plans: DataFrame, stem: bool = False, index: TermIndex | None = None) -> DataFrame:
     """query_id, chunk_id, facts, bm25 for all chunks with a hit; from the index where there is one."""
+    terms = phrase_terms(plans, index.stem if index else stem)
+    small = few(terms)
     if index:
-        terms = phrase_terms(plans, index.stem)
-        hits, stats = phrase_hits(index.of(terms).join(terms, "term")), index.stats
+        met = beside(index.of(terms), terms, ["term"], small)
+        hits, stats = Scratch(chunks.sparkSession, "search").keep(phrase_hits(dealt(met)), "hits"), index.stats
     else:
         hits, stats = found_phrases(chunks, plans, stem)
     found = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("n_p"))
     idf = F.log((F.col("n") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(found, ["query_id", "phrase"]).join(F.broadcast(stats))  # one row
+    scored = beside(hits, found, ["query_id", "phrase"], small).join(F.broadcast(stats))  # one row
     return scored.groupBy("query_id", "chunk_id", *FILTERS).agg(F.round(F.sum(weight), DIGITS).alias("bm25"))
 
 

@@ -114,3 +114,44 @@ def test_render_and_tags(spark):
     projects = spark.createDataFrame([("ONE", "d1"), ("Two", "d2"), ("x", None)], "name string, domain string")
     got = assemble.resolve_domains(plans, projects)
     assert dict(found(got.select("query_id", assemble.tag_of(got.domain, "dflt").alias("tag")), "query_id", "tag")) == {1: "d2-context", 2: "dflt", 3: "dflt"}
+
+
+def test_index_tasks_are_bounded_whatever_the_term(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"doc-{i}", "the same word in all chunks, the same again", "a", "plan", "go", None) for i in range(400)]
+    corpus, plans = spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([plan(types=["the"], topics=["same word"])], PLANS)
+    monkeypatch.setattr(search.TermIndex, "SEGMENT", 2000, raising=False)
+    monkeypatch.setattr(search, "ROWS_A_TASK", 200, raising=False)
+    index = search.TermIndex.build(corpus, str(tmp_path / "i"))
+    per_file = index.rows.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("c")).collect()
+    assert sum(r.n for r in per_file) == 400 * 11 and max(r.n for r in per_file) <= 1000  # segments of some 40 chunks
+    assert sum(r.c for r in per_file) == 400  # whole chunks
+    met, count = [], search.phrase_hits
+    monkeypatch.setattr(search, "phrase_hits", lambda rows: met.append(rows) or count(rows))
+    assert search.bm25_scores(corpus, plans, index=index).count() == 400
+    shares = [r["count"] for r in met[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 400 * 5 and max(shares) <= 600  # terms: the, the; same, same; word
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("stem", [False, True])
+def test_the_index_finds_what_the_texts_hold(spark, chunks, tmp_path, monkeypatch, most, stem):
+    plans = [plan(1, types=["message BuildRequest"], topics=["a build", "widget", "widget"]), plan(2, ["b"], topics=["widget widget", "CAFE eleve"], languages=["rust"]), plan(3, topics=["none of it"]), plan(4)]
+    plans += [plan(9, topics=[f"w{i}" for i in range(15)] + ["zero", "answer to", "the"])]  # more terms than a filter tells one by one
+    plans = spark.createDataFrame(plans, PLANS)
+    want = found(search.bm25_search(chunks, plans, stem=stem), "query_id", "chunk_id", "bm25")
+    monkeypatch.setattr(search, "BROADCAST_ROWS", most, raising=False)
+    monkeypatch.setattr(search.TermIndex, "SEGMENT", 40, raising=False)
+    index = search.TermIndex.build(chunks, str(tmp_path / "i"), stem)
+    assert index.stats.first().n == 5
+    assert found(search.bm25_search(chunks, plans, index=index), "query_id", "chunk_id", "bm25") == want and len(want) > 5
+    monkeypatch.setattr(search, "TERMS_AT_ONCE", 3)
+    assert found(search.bm25_search(chunks, plans, index=index), "query_id", "chunk_id", "bm25") == want
+    assert found(search.bm25_search(chunks, plans, stem=stem), "query_id", "chunk_id", "bm25") == want
+
+
+def test_an_index_of_nothing_finds_nothing(spark, chunks, tmp_path):
+    index = search.TermIndex.build(chunks.limit(0), str(tmp_path / "i"))
+    plans = spark.createDataFrame([plan(topics=["widget", "a build"])], PLANS)
+    assert index.stats.first().n == 0 and search.bm25_search(chunks, plans, index=index).collect() == []
